@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.operators import change_feed, timestamps
+from cardloom.operators import change_feed, hierarchy, timestamps
 from cardloom.sources.tables import table
 
 
@@ -31,4 +31,14 @@ def p2_records(spark: SparkSession, sf: str) -> DataFrame:
     return change_feed.replay(table(spark, sf, "mutations")).records().withColumn("revision", F.col("revision").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_records)}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every card with a link and the card where the way up ends."""
+    return hierarchy.roots(table(spark, sf, "cards", "id", "superseded_by", "supersedes"))
+
+
+def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Path, depth, root and number of descendants of every linked card, with circles reported."""
+    return hierarchy.paths(table(spark, sf, "cards", "id", "superseded_by", "supersedes")).withColumn("path", F.array_join("path", "/"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_records, p6_found, p6_paths)}
