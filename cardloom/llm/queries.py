@@ -5,11 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, packing
+from cardloom.llm import bpe, packing, pii
 from cardloom.sources.tables import table
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(tab, rec_id, text) of cards and specifics; rows delivered twice once."""
+    cards = table(spark, sf, "cards").select(F.lit("cards").alias("tab"), F.col("id").alias("rec_id"), F.col("content").alias("text"))
+    return cards.unionAll(table(spark, sf, "specifics").select(F.lit("specifics"), "id", "window"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every span of personal data in cards.content and specifics.window."""
+    return pii.personal_data(_texts(spark, sf), table(spark, sf, "given_names"))
+
+
+def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    texts = _texts(spark, sf)
+    return pii.scan(texts, pii.lexicon(texts, table(spark, sf, "given_names"))).select("tab", "rec_id", "redacted").distinct()
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id and ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf, "documents", "doc_id", "text"))
@@ -25,5 +43,5 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(p8_pack(spark, sf))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_pack, p8_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_redacted, p7_ids, p8_pack, p8_fill)}
 SQL: dict[str, str] = {}
