@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, packing, pii
+from cardloom.llm import bpe, language, packing, pii
 from cardloom.sources.tables import table
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards and conversations with a missing or wrong label, and foreign lines, with the right language."""
+    return language.wrong_labels(p4_languages(spark, sf))
+
+
+def p4_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every card, window and foreign line, with confidence."""
+    return language.languages(table(spark, sf, "cards", "id", "lang", "summary", "content"), table(spark, sf, "conversations", "cid", "locale", "window"))
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """(tab, rec_id, text) of cards and specifics; rows delivered twice once."""
     cards = table(spark, sf, "cards").select(F.lit("cards").alias("tab"), F.col("id").alias("rec_id"), F.col("content").alias("text"))
@@ -43,5 +53,5 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(p8_pack(spark, sf))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_redacted, p7_ids, p8_pack, p8_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_languages, p5_found, p5_redacted, p7_ids, p8_pack, p8_fill)}
 SQL: dict[str, str] = {}
