@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, language, packing, pii
+from cardloom.llm import bpe, language, near_duplicates, packing, pii
 from cardloom.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of cards whose summary and content share at least 70 % of their words."""
+    return near_duplicates.near_pairs(near_duplicates.card_texts(table(spark, sf, "cards", "id", "summary", "content")))
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each card's class of near-duplicates and its number of links."""
+    return near_duplicates.classes(near_duplicates.card_texts(table(spark, sf, "cards", "id", "summary", "content")))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Cards and conversations with a missing or wrong label, and foreign lines, with the right language."""
     return language.wrong_labels(p4_languages(spark, sf))
@@ -53,5 +63,5 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(p8_pack(spark, sf))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_languages, p5_found, p5_redacted, p7_ids, p8_pack, p8_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_languages, p5_found, p5_redacted, p7_ids, p8_pack, p8_fill)}
 SQL: dict[str, str] = {}
