@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, language, near_duplicates, packing, pii
+from cardloom.llm import bpe, language, near_duplicates, packing, pii, reading_level
 from cardloom.sources.tables import table
 
 
@@ -63,5 +63,15 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(p8_pack(spark, sf))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_languages, p5_found, p5_redacted, p7_ids, p8_pack, p8_fill)}
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Reading level of every document."""
+    return reading_level.levels(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "reading_labels", "doc_id", "level"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents at the most demanding level."""
+    return p9_levels(spark, sf).filter("level = 4").select("doc_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_languages, p5_found, p5_redacted, p7_ids, p8_pack, p8_fill, p9_found, p9_levels)}
 SQL: dict[str, str] = {}
