@@ -1,16 +1,20 @@
 """Near-duplicate texts: pairs of word sets that share at least a given part of the words that either has.
 
-A text is its set of words. Its fingerprint has FINGERPRINT_BITS bits: each word flips one. Two fingerprints differ in at most as many
+A text is its set of words. Its fingerprint has 143 bits: each word flips one. Two fingerprints differ in at most as many
 bits as the sets differ in words, so a pair of similarity t and sizes a, b lies within (1 - t) / (1 + t) * (a + b) bits: the search
 radius, at which no pair is lost. Fingerprints meet in shards, one for each of BANDS keys of least hashed words, so that a text
 is in several shards and those of neighbours overlap (a pair at similarity 0.7 shares no shard with probability 4e-5, a closer one with
 less). In a shard, a vantage-point tree parts the fingerprints by their Hamming distance to a vantage point; the triangle inequality
 prunes, and only the rims on both sides of a boundary are compared across it. What remains is compared exactly, word by word.
-A shard that is larger than SHARD_ROWS is cut into blocks, and each two blocks meet in a task of their own.
+A shard that is larger than SHARD_ROWS is cut into blocks, and each two blocks meet in a task of their own; which shards are that large
+is told by a sample of the sets, and only how the work is dealt out depends on it.
+
+What is shuffled for a text and shard is four numbers: (shard, size, 15 bits), twice 64 bits, and the set's 64-bit digest.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,8 +27,11 @@ from pyspark.sql import functions as F
 from cardloom.session import written
 
 BANDS, ROWS = 24, 3
-FINGERPRINT_BITS = 128
-SHARD_ROWS = 20_000
+SHARD_ROWS = 200_000
+#: One in so many sets is counted to find large shards.
+COUNTED = 64
+#: Sizes from here on are not told apart in a shard: such sets are compared exactly with all near ones.
+_MOST = 4095
 LEAF = 64
 _WORD = re.compile(r"[一-鿿㐀-䶿]|[^\W_一-鿿㐀-䶿]+")
 _REMEMBERED = 150_000
@@ -82,23 +89,27 @@ def _sketch(texts: list[str]) -> dict[str, np.ndarray]:
     start = np.concatenate([[0], np.cumsum(count)[:-1]])
     h = _hasher.hash[flat]
     least = np.minimum.reduceat(_hasher.rows[flat], start, axis=0).astype(np.uint64)
-    keys = (least.reshape(len(lists), BANDS, ROWS) * _hasher.mix).sum(axis=2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
-    bit = h >> np.uint64(57)
+    keys = ((least.reshape(len(lists), BANDS, ROWS) * _hasher.mix).sum(axis=2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    bit = (h >> np.uint64(40)) % np.uint64(143)
     flip = np.uint64(1) << (bit & np.uint64(63))
-    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    third = lambda k: np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), start)
     return {
         "count": count,
         "hashes": h,
         "d1": np.add.reduceat(h, start),
-        "d2": np.bitwise_xor.reduceat(mixed, start),
-        "f1": np.bitwise_xor.reduceat(np.where(bit < 64, flip, np.uint64(0)), start),
-        "f2": np.bitwise_xor.reduceat(np.where(bit >= 64, flip, np.uint64(0)), start),
+        "f1": third(0),
+        "f2": third(1),
+        "f3": third(2),
         "keys": keys,
     }
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """texts: id, text. (id, d1, d2, n, words, f1, f2, keys) of the texts with words; the digest (d1, d2) stands for the word set."""
+    """texts: id, text. (id, d, words, f, e, g, keys) of the texts with words.
+
+    The digest d stands for the word set: of n different sets, n * n / 2^65 pairs are expected to share one. f and e
+    have 64 bits each of the fingerprint, g the size and the other 15.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,38 +122,52 @@ def sketches(texts: DataFrame) -> DataFrame:
                 s = _sketch([text[k] for k in keep])
                 long = lambda x: pa.array(x.astype(np.int64))
                 ends = np.concatenate([[0], np.cumsum(s["count"])]).astype(np.int32)
-                keyed = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), long(s["keys"].reshape(-1)))
-                arrays = [part.column(0).take(pa.array(keep)), long(s["d1"]), long(s["d2"]), pa.array(s["count"].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), long(s["hashes"])), long(s["f1"]), long(s["f2"]), keyed]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "d1", "d2", "n", "words", "f1", "f2", "keys"])
+                keyed = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), pa.array(s["keys"].reshape(-1).astype(np.uint32).view(np.int32)))
+                g = pa.array((np.minimum(s["count"], _MOST) << 15 | s["f3"].astype(np.int64)).astype(np.int32))
+                arrays = [part.column(0).take(pa.array(keep)), long(s["d1"]), pa.ListArray.from_arrays(pa.array(ends), long(s["hashes"])), long(s["f1"]), long(s["f2"]), g, keyed]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "d", "words", "f", "e", "g", "keys"])
 
     kind = dict(texts.dtypes)["id"]
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, d1 bigint, d2 bigint, n int, words array<bigint>, f1 bigint, f2 bigint, keys array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, d bigint, words array<bigint>, f bigint, e bigint, g int, keys array<int>")
 
 
 class _Shard:
     """Fingerprints of one task, searched by vantage-point trees."""
 
-    def __init__(self, f1: np.ndarray, f2: np.ndarray, n: np.ndarray, least: float):
-        self.f1, self.f2, self.n, self.least = f1, f2, n.astype(np.int64), least
+    def __init__(self, f1: np.ndarray, f2: np.ndarray, f3: np.ndarray, n: np.ndarray, least: float):
+        self.f1, self.f2, self.f3, self.n, self.least = f1, f2, f3, n.astype(np.int64), least
         self.share = (1 - least) / (1 + least)
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
 
+    def distance(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        return sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in (self.f1, self.f2, self.f3))
+
     def near(self, a: np.ndarray, b: np.ndarray) -> None:
         """Keep those of the pairs (a, b) whose fingerprints and sizes allow the similarity."""
-        d = np.bitwise_count(self.f1[a] ^ self.f1[b]).astype(np.int64) + np.bitwise_count(self.f2[a] ^ self.f2[b])
+        d = self.distance(a, b)
         na, nb = self.n[a], self.n[b]
-        ok = (d <= self.share * (na + nb) + 1e-9) & (np.minimum(na, nb) >= self.least * np.maximum(na, nb) - 1e-9)
+        ok = (d <= self.share * (na + nb) + 1e-9) & (np.minimum(na, nb) >= self.least * np.maximum(na, nb) - 1e-9) | (na >= _MOST) | (nb >= _MOST)
         if ok.any():
             self.left.append(a[ok])
             self.right.append(b[ok])
 
     def across(self, a: np.ndarray, b: np.ndarray) -> None:
+        """All near pairs between `a` and `b`, in blocks of like sizes; most fall to the first 128 bits."""
+        a, b = a[np.argsort(self.n[a], kind="stable")], b[np.argsort(self.n[b], kind="stable")]
+        reach = np.minimum(np.ceil(self.share * self.n), 100).astype(np.uint8)
         for i in range(0, len(a), 512):
             x = a[i : i + 512]
-            for j in range(0, len(b), 512):
-                y = b[j : j + 512]
-                self.near(np.repeat(x, len(y)), np.tile(y, len(x)))
+            for j in range(0, len(b), 1024):
+                y = b[j : j + 1024]
+                most = max(self.n[x[-1]], self.n[y[-1]])
+                if most < _MOST and (self.n[x[-1]] < self.least * self.n[y[0]] - 1e-9 or self.n[y[-1]] < self.least * self.n[x[0]] - 1e-9):
+                    continue
+                d = np.bitwise_count(self.f1[x][:, None] ^ self.f1[y][None, :])
+                d += np.bitwise_count(self.f2[x][:, None] ^ self.f2[y][None, :])
+                p, q = np.nonzero(d <= reach[x][:, None] + reach[y][None, :]) if most < _MOST else np.indices(d.shape).reshape(2, -1)
+                if len(p):
+                    self.near(x[p], y[q])
 
     def tree(self, at: np.ndarray) -> None:
         """All near pairs within `at`."""
@@ -154,7 +179,7 @@ class _Shard:
                 self.near(at[i], at[j])
                 continue
             v = at[len(at) // 2]
-            d = np.bitwise_count(self.f1[at] ^ self.f1[v]).astype(np.int64) + np.bitwise_count(self.f2[at] ^ self.f2[v])
+            d = self.distance(at, v)
             middle = int(np.median(d))
             inside = d <= middle
             if inside.all():
@@ -164,18 +189,19 @@ class _Shard:
                 todo += [at[:half], at[half:]]
                 self.across(at[:half], at[half:])
                 continue
-            radius = self.share * 2 * int(self.n[at].max())
+            most = int(self.n[at].max())
+            radius = self.share * 2 * most if most < _MOST else math.inf
             a, da, b, db = at[inside], d[inside], at[~inside], d[~inside]
             todo += [a, b]
             order = np.argsort(db, kind="stable")
             b, db = b[order], db[order]
-            for i in range(0, len(a), 256):  # rims: only points whose distances differ by at most the radius
-                top = np.argsort(-da, kind="stable")[i : i + 256]
-                if da[top[0]] + radius < db[0]:
+            a, da = (x[np.argsort(-da, kind="stable")] for x in (a, da))
+            for i in range(0, len(a), 4096):  # rims: only points whose distances differ by at most the radius
+                if da[i] + radius < db[0]:
                     break
-                reach = np.searchsorted(db, da[top].max() + radius, side="right")
+                reach = np.searchsorted(db, da[i] + radius, side="right")
                 if reach:
-                    self.across(a[top], b[:reach])
+                    self.across(a[i : i + 4096], b[:reach])
 
     def small(self, key: np.ndarray) -> np.ndarray:
         """All near pairs in shards of at most LEAF rows, over rows sorted by shard; returns the starts of larger shards."""
@@ -192,25 +218,30 @@ class _Shard:
 
 
 def _search(shards: DataFrame, least: float) -> DataFrame:
-    """shards: shard columns key, i, j; side; d1, d2, f1, f2, n, sorted by shard within partitions. Near pairs of digests."""
+    """shards: a (shard, size, 15 bits), f, e, d, and i, j, side where blocks of large shards meet; sorted by shard within partitions.
+
+    Near pairs (x, y) of digests, x < y.
+    """
+    names = shards.columns
 
     def join(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        shard = _Shard(rows["f1"].view(np.uint64), rows["f2"].view(np.uint64), rows["n"], least)
-        key = rows["key"] + (rows["i"].astype(np.int64) * 1_000_003 + rows["j"]) * np.int64(0x5851F42D4C957F2D)
+        a = rows["a"].view(np.uint64)
+        shard = _Shard(rows["f"].view(np.uint64), rows["e"].view(np.uint64), a & np.uint64(0x7FFF), (a >> np.uint64(15)).astype(np.int64) & 0xFFF, least)
+        key = (a >> np.uint64(27)).astype(np.int64)
+        blocks = "side" in rows
+        if blocks:
+            key = key + (rows["i"].astype(np.int64) * 1_000_003 + rows["j"]) * np.int64(0x5851F42D4C957F2D)
         for start in shard.small(key):
-            end = start + int(np.argmin(key[start:] == key[start])) if (key[start:] != key[start]).any() else len(key)
-            shard.tree(np.arange(start, end))
-        a = np.concatenate(shard.left) if shard.left else np.empty(0, np.int64)
-        b = np.concatenate(shard.right) if shard.right else np.empty(0, np.int64)
-        cross = (rows["i"][a] == rows["j"][a]) | (rows["side"][a] != rows["side"][b])
-        a, b = a[cross], b[cross]
-        d1, d2 = rows["d1"], rows["d2"]
-        swap = (d1[a] > d1[b]) | ((d1[a] == d1[b]) & (d2[a] > d2[b]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        pairs = np.unique(np.stack([d1[a], d2[a], d1[b], d2[b]]), axis=1) if len(a) else np.empty((4, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a1", "a2", "b1", "b2"])
-
-    names = ["key", "i", "j", "side", "d1", "d2", "f1", "f2", "n"]
+            other = np.flatnonzero(key[start:] != key[start])
+            shard.tree(np.arange(start, start + other[0] if len(other) else len(key)))
+        p = np.concatenate(shard.left) if shard.left else np.empty(0, np.int64)
+        q = np.concatenate(shard.right) if shard.right else np.empty(0, np.int64)
+        if blocks:
+            cross = (rows["i"][p] == rows["j"][p]) | (rows["side"][p] != rows["side"][q])
+            p, q = p[cross], q[cross]
+        d = rows["d"]
+        pairs = np.unique(np.stack([np.minimum(d[p], d[q]), np.maximum(d[p], d[q])]), axis=1) if len(p) else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -219,10 +250,12 @@ def _search(shards: DataFrame, least: float) -> DataFrame:
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, count
             rows = {k: np.concatenate([h[k] for h in held]) for k in names}
-            total = len(rows["key"])
-            cut = total
+            total = cut = len(rows["a"])
             if not last:  # the last shard may go on in the next batch
-                same = (rows["key"] == rows["key"][-1]) & (rows["i"] == rows["i"][-1]) & (rows["j"] == rows["j"][-1])
+                same = rows["a"] >> 27 == rows["a"][-1] >> 27
+                for k in ("i", "j"):
+                    if k in rows:
+                        same &= rows[k] == rows[k][-1]
                 cut = total - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
                 yield join({k: v[:cut] for k, v in rows.items()})
@@ -237,32 +270,34 @@ def _search(shards: DataFrame, least: float) -> DataFrame:
         if count:
             yield from flush(True)
 
-    return shards.select(*names).mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    return shards.mapInArrow(run, "x bigint, y bigint")
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a1, a2, b1, b2) of different digests of `sketches` whose word sets have a Jaccard similarity of at least `least`."""
-    kept = sets.groupBy("d1", "d2").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = written(kept, "distinct-sets").select("d1", "d2", "f1", "f2", "n", F.explode("keys").alias("key"))
-    big = written(rows.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > SHARD_ROWS), "large-shards")
-    zero = F.lit(0)
-    if big.isEmpty():
-        shards = rows.withColumns({"i": zero, "j": zero, "side": zero})
-    else:  # block b meets each block in a shard of its own
-        sized = rows.join(big, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / (SHARD_ROWS // 2)), F.lit(1)).cast("int"))
-        sized = sized.withColumn("side", F.pmod("d2", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-        shards = sized.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    placed = shards.select("key", "i", "j", "side", "d1", "d2", "f1", "f2", "n").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = _search(placed, least).distinct()
-    found = written(found, "near-pairs")
-    ends = found.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).unionAll(found.select("b1", "b2")).distinct()
-    texts = sets.select("d1", "d2", "words").join(ends, ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.first("words").alias("words"))
-    texts = written(texts, "near-words")
-    both = found.join(texts.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("words").alias("wa")), ["a1", "a2"])
-    both = both.join(texts.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("words").alias("wb")), ["b1", "b2"])
-    shared = F.size(F.array_intersect("wa", "wb"))
-    both = both.select("a1", "a2", "b1", "b2", shared.alias("s"), (F.size("wa") + F.size("wb")).alias("n"))
-    return both.filter(F.col("s") >= F.lit(least) * (F.col("n") - F.col("s")) - 1e-9).select("a1", "a2", "b1", "b2")
+    """Pairs (x, y), x < y, of digests of `sketches` whose word sets have a Jaccard similarity of at least `least`."""
+    kept = sets.groupBy("d").agg(F.first("f").alias("f"), F.first("e").alias("e"), F.first("g").alias("g"), F.first("keys").alias("keys"))
+    rows = kept.select("d", "f", "e", "g", F.posexplode("keys").alias("band", "key"))
+    shard = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(0xFFFFFFFF))
+    rows = rows.select(F.shiftleft(shard, 27).bitwiseOR(F.col("g").cast("long")).alias("a"), "f", "e", "d")
+    key = F.shiftrightunsigned("a", 27)
+    sample = sets.filter(F.pmod("d", F.lit(COUNTED)) == 0).select(F.col("d"), F.posexplode("keys").alias("band", "key")).distinct()
+    sample = sample.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(0xFFFFFFFF)).alias("shard"))
+    big = written(sample.groupBy("shard").agg((F.count("*") * COUNTED).alias("size")).filter(F.col("size") > SHARD_ROWS), "large-shards")
+    none = big.isEmpty()
+    plain = rows if none else rows.withColumn("shard", key).join(big, "shard", "left_anti").drop("shard")
+    found = _search(plain.select("a", "f", "e", "d").repartition(key).sortWithinPartitions("a"), least)
+    if not none:  # block b meets each block in a shard of its own
+        sized = rows.withColumn("shard", key).join(big, "shard").withColumn("blocks", F.ceil(F.col("size") / (SHARD_ROWS // 2)).cast("int"))
+        sized = sized.withColumn("side", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sized = sized.select("a", "f", "e", "d", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+        sized = sized.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+        found = found.unionAll(_search(sized, least))
+    found = written(found.distinct(), "near-pairs")
+    ends = found.select(F.col("x").alias("d")).unionAll(found.select("y")).distinct()
+    texts = written(sets.select("d", "words").join(ends, "d", "left_semi").groupBy("d").agg(F.first("words").alias("words")), "near-words")
+    both = found.join(texts.select(F.col("d").alias("x"), F.col("words").alias("wx")), "x").join(texts.select(F.col("d").alias("y"), F.col("words").alias("wy")), "y")
+    both = both.select("x", "y", F.size(F.array_intersect("wx", "wy")).alias("s"), (F.size("wx") + F.size("wy")).alias("n"))
+    return both.filter(F.col("s") >= F.lit(least) * (F.col("n") - F.col("s")) - 1e-9).select("x", "y")
 
 
 def card_texts(cards: DataFrame) -> DataFrame:
@@ -276,13 +311,12 @@ def near_pairs(texts: DataFrame, least: float = 0.7) -> DataFrame:
     A row delivered twice counts once; an id with several texts pairs with each. Identical word sets are compared once.
     """
     sets = written(sketches(texts), "word-sets")
-    members = sets.select("id", "d1", "d2").distinct()
-    a = members.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("id").alias("x"))
-    b = members.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("id").alias("y"))
-    between = similar_sets(sets, least).join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("x", "y")
-    within = a.join(b.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), "y"), ["a1", "a2"]).select("x", "y")
-    pairs = between.unionAll(within).filter("x <> y")
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    members = sets.select("id", "d").distinct()
+    a, b = members.select(F.col("id").alias("u"), F.col("d").alias("x")), members.select(F.col("id").alias("v"), F.col("d").alias("y"))
+    between = similar_sets(sets, least).join(a, "x").join(b, "y").select("u", "v")
+    within = a.join(b.withColumnRenamed("y", "x"), "x").filter("u < v").select("u", "v")
+    pairs = between.unionAll(within).filter("u <> v")
+    return pairs.select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b")).distinct()
 
 
 def classes(texts: DataFrame, least: float = 0.7) -> DataFrame:
@@ -291,17 +325,16 @@ def classes(texts: DataFrame, least: float = 0.7) -> DataFrame:
     n_links counts the other word sets that are similar, n_copies the ids with the same set of words. Copies are not paired.
     """
     sets = written(sketches(texts), "word-sets")
-    groups = sets.select("id", "d1", "d2").distinct().groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+    groups = sets.select("id", "d").distinct().groupBy("d").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     groups = written(groups, "copies")
-    a = groups.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("rep").alias("u"))
-    b = groups.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("rep").alias("v"))
-    edges = written(similar_sets(sets, least).join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("u", "v"), "links")
+    a, b = groups.select(F.col("d").alias("x"), F.col("rep").alias("u")), groups.select(F.col("d").alias("y"), F.col("rep").alias("v"))
+    edges = written(similar_sets(sets, least).join(a, "x").join(b, "y").select("u", "v"), "links")
     both = edges.unionAll(edges.select("v", "u"))
     links = both.groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("n_links"))
     label = components(edges)
     out = groups.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").join(links, "rep", "left")
-    out = out.select("d1", "d2", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-    return sets.select("id", "d1", "d2").distinct().join(out, ["d1", "d2"]).select("id", "class_id", "n_links", "n_copies")
+    out = out.select("d", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    return sets.select("id", "d").distinct().join(out, "d").select("id", "class_id", "n_links", "n_copies")
 
 
 def components(edges: DataFrame) -> DataFrame:
