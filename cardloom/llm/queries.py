@@ -74,4 +74,10 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_languages, p5_found, p5_redacted, p7_ids, p8_pack, p8_fill, p9_found, p9_levels)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": r"""WITH t AS (SELECT DISTINCT id, concat_ws(' ', summary, content) AS x FROM cards WHERE id IS NOT NULL),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(regexp_replace(lower(x), '([㐀-䶿一-鿿])', ' \1 ', 'g'), '([\p{L}\p{N}]+)', 1)) AS word FROM t),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM s JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE s * 10 >= 7 * (a.n + b.n - s)""",
+}
