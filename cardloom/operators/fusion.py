@@ -21,18 +21,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(wrong, F.raise_error(F.lit("vectors must be of one size, finite and not zero")).cast("double")).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, limit: int, min_cosine: float, blocks: int = 16) -> DataFrame:
+def vector_top(queries: DataFrame, vectors: DataFrame, limit: int | None, min_cosine: float, scope: str | None = None, blocks: int = 16) -> DataFrame:
     """Nearest vectors of each query: (qid, id, rank, cosine), at least `min_cosine`, the query itself left out.
 
-    queries: qid, vector; vectors: id, vector. A stated set of queries against all rows, in blocks: the queries are dealt out to `blocks`
-    groups, each vector visits every group, and each group keeps only its best `limit` per query.
+    queries: qid, vector; vectors: id, vector; both with `scope`, if given. A stated set of queries against all rows (of their scope), in
+    blocks: the queries are dealt out to `blocks` groups and each vector visits every group, so that a large scope is many tasks.
     """
-    asked = queries.select("qid", F.col("vector").alias("qv"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
-    placed = vectors.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = placed.join(asked, "block").filter(F.col("qid") != F.col("id"))
+    keys = [scope] if scope else []
+    asked = queries.select("qid", *keys, F.col("vector").alias("qv"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
+    placed = vectors.select("id", "vector", *keys, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = placed.join(asked, ["block", *keys]).filter(F.col("qid") != F.col("id"))
     pairs = pairs.select("qid", "id", F.round(cosine(F.col("qv"), F.col("vector")), 4).alias("cosine")).filter(F.col("cosine") >= min_cosine)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), F.asc("id")))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= limit).select("qid", "id", F.col("rank").cast("long").alias("rank"), "cosine")
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), F.asc("id"))))
+    kept = pairs if limit is None else pairs.filter(F.col("rank") <= limit)
+    return kept.select("qid", "id", F.col("rank").cast("long").alias("rank"), "cosine")
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = C.RRF_K, vector_weight: float = C.VECTOR_WEIGHT, lexical_weight: float = C.LEXICAL_WEIGHT) -> DataFrame:

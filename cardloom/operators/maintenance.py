@@ -16,17 +16,18 @@ VERSION_FIELDS = ("summary", "content", "bucket", "threads", "occurred_at", "ret
 def shapes(cards: DataFrame, scope: str = "owner", marker: str = C.DREAM_SOURCE) -> DataFrame:
     """(scope, card_count, seed_count, signature) of each garden.
 
-    Seeds are all cards, retired ones too, that maintenance did not write. The signature is that of their lines in the order of ids: it
-    does not depend on the order of rows. It is built from a digest per card, 64 bytes each.
+    Seeds are all cards, retired ones too, that maintenance did not write. The signature is that of their lines, in the order of ids
+    within 4,096 buckets of the ids' own hash: it does not depend on the order of rows, and no task holds the lines of a whole garden.
     """
     seed = F.coalesce(F.trim("source"), F.lit("")) != marker
     line = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("id", "source", "created_at", "occurred_at")])
-    rows = with_status(cards).withColumns({"seed": seed, "digest": F.sha2(line, 256)})
-    seeds = F.array_sort(F.collect_list(F.when(F.col("seed"), F.struct("id", "digest"))))
-    joined = F.array_join(F.transform(seeds, lambda x: x["digest"]), "\n")
-    return rows.groupBy(F.col(scope).alias("scope")).agg(
-        F.count_if(F.col("state") == "active").alias("card_count"), F.count_if("seed").alias("seed_count"), F.substring(F.sha2(joined, 256), 1, 32).alias("signature")
+    rows = with_status(cards).select(F.col(scope).alias("scope"), "state", seed.alias("seed"), "id", F.sha2(line, 256).alias("digest"), F.substring(F.sha2("id", 256), 1, 3).alias("bucket"))
+    joined = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct(key, "digest")))), lambda x: x["digest"]), "\n")
+    parts = rows.withColumn("digest", F.when(F.col("seed"), F.col("digest"))).groupBy("scope", "bucket").agg(
+        F.count_if(F.col("state") == "active").alias("cards"), F.count_if("seed").alias("seeds"), joined("id").alias("lines")
     )
+    parts = parts.withColumn("digest", F.when(F.col("seeds") > 0, F.sha2("lines", 256)))
+    return parts.groupBy("scope").agg(F.sum("cards").alias("card_count"), F.sum("seeds").alias("seed_count"), F.substring(F.sha2(joined("bucket"), 256), 1, 32).alias("signature"))
 
 
 def verdicts(shapes_: DataFrame, ledger: DataFrame, min_new: int = C.MIN_NEW_CARDS) -> DataFrame:

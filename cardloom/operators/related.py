@@ -17,7 +17,7 @@ def links(values: Column) -> Column:
     return F.slice(F.array_distinct(kept), 1, C.LINKS_PER_FIELD)
 
 
-def one_hop(sources: DataFrame, candidates: DataFrame, cap: int = C.RELATED_CAP, hot_thread: int = 10_000) -> DataFrame:
+def one_hop(sources: DataFrame, candidates: DataFrame, cap: int = C.RELATED_CAP) -> DataFrame:
     """(set_id, id, source_id, relation, summary, rank) for each set of sources.
 
     sources: set_id, scope, and a card's columns; candidates: scope and a card's columns, of the same scopes. Per source and candidate

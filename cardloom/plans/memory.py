@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import constants as C
 from cardloom.functions import text as X
-from cardloom.operators import budgets, fusion, lexical, lifecycle, maintenance, metrics, related, selection
+from cardloom.operators import budgets, evidence, fusion, importing, lexical, lifecycle, maintenance, metrics, related, selection
 from cardloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,10 +232,8 @@ def _lanes(spark, sf) -> DataFrame:
     lexical_lane = lexical.ranked(lexical.evaluate(q, c), c, None)
     number = lambda col, at: F.substr(F.col(col), F.lit(at)).cast("long") % 500
     cv = c.select("owner", "id", number("id", 3).alias("vec_id")).join(e, "vec_id").select("owner", "id", F.col("embedding").alias("vector"))
-    qv = q.select("owner", "qid", number("qid", 2).alias("vec_id")).join(e, "vec_id").select("owner", "qid", F.col("embedding").alias("qv"))
-    pairs = qv.join(cv, "owner").select("qid", "id", F.round(fusion.cosine(F.col("qv"), F.col("vector")), 4).alias("cosine")).filter("cosine >= 0.1")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id"))
-    return fusion.fuse(lexical_lane, pairs.withColumn("rank", rank.cast("long")))
+    qv = q.select("owner", "qid", number("qid", 2).alias("vec_id")).join(e, "vec_id").select("owner", "qid", F.col("embedding").alias("vector"))
+    return fusion.fuse(lexical_lane, fusion.vector_top(qv, cv, None, 0.1, "owner"))
 
 
 @query(_LANES + " SELECT qid, id, lexical_rank, vector_rank, score, rank FROM f WHERE rank <= 20")
@@ -510,7 +508,8 @@ SELECT owner AS scope, count(*) AS kept, CAST(max(used) AS BIGINT) AS chars FROM
 def budgeted_index(spark, sf):
     c = active(spark, sf).filter(X.collapse(F.coalesce("summary", F.lit(""))) != "")
     place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc(F.coalesce("importance", F.lit(0.0))), F.asc("id")))
-    lines = c.select(F.col("owner").alias("scope"), place.alias("place"), budgets.index_line(F.col("id"), F.col("bucket"), F.col("summary"), 60).alias("line"))
+    c = c.withColumn("place", place).filter("place <= 2000")  # no line is empty, so no more fit: the window keeps just these
+    lines = c.select(F.col("owner").alias("scope"), "place", budgets.index_line(F.col("id"), F.col("bucket"), F.col("summary"), 60).alias("line"))
     return budgets.within_budget(lines, 2000).groupBy("scope").agg(F.count("*").alias("kept"), F.max("used").alias("chars"))
 
 
@@ -535,8 +534,9 @@ def chunk_material(spark, sf):
 _SHAPES = (
     "WITH "
     + _CARDS
-    + """, g AS (SELECT owner AS scope, count(*) FILTER (state = 'active') AS card_count, count(*) FILTER (coalesce(trim(source), '') <> 'memory_dream') AS seed_count,
-  substr(sha256(coalesce(string_agg(CASE WHEN coalesce(trim(source), '') <> 'memory_dream' THEN sha256(id || '|' || coalesce(source, '') || '|' || coalesce(created_at, '') || '|' || coalesce(occurred_at, '')) END, chr(10) ORDER BY id), '')), 1, 32) AS signature FROM k GROUP BY owner)"""
+    + """, b AS (SELECT owner AS scope, substr(sha256(id), 1, 3) AS bucket, count(*) FILTER (state = 'active') AS cards, count(*) FILTER (coalesce(trim(source), '') <> 'memory_dream') AS seeds,
+  sha256(string_agg(CASE WHEN coalesce(trim(source), '') <> 'memory_dream' THEN sha256(id || '|' || coalesce(source, '') || '|' || coalesce(created_at, '') || '|' || coalesce(occurred_at, '')) END, chr(10) ORDER BY id)) AS digest FROM k GROUP BY ALL),
+g AS (SELECT scope, sum(cards)::BIGINT AS card_count, sum(seeds)::BIGINT AS seed_count, substr(sha256(coalesce(string_agg(CASE WHEN seeds > 0 THEN digest END, chr(10) ORDER BY bucket), '')), 1, 32) AS signature FROM b GROUP BY scope)"""
 )
 
 
@@ -704,3 +704,30 @@ def idle_sessions(spark, sf):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
+
+
+@query(None)
+def legacy_relevance(spark, sf):
+    return evidence.relevance(asked(spark, sf), active(spark, sf))
+
+
+@query(None)
+def import_next_batch(spark, sf):
+    plan = importing.plan(table(spark, sf, "documents", "doc_id", "text"))
+    done = plan.filter("place = 0").select("batch_key")
+    return importing.next_batch(plan, done).select("scope", "place", "start", "batch_key")
+
+
+@query(
+    "WITH "
+    + _bm25()
+    + """, a AS (SELECT q.qid, k.id, k.importance FROM q JOIN k ON k.owner = q.owner AND k.state = 'active'),
+b AS (SELECT a.qid, a.id, rk.rank, row_number() OVER (PARTITION BY a.qid ORDER BY coalesce(importance, 0) DESC, a.id) AS w FROM a LEFT JOIN rk ON rk.qid = a.qid AND rk.id = a.id),
+s AS (SELECT *, CASE WHEN rank <= 15 THEN 0 WHEN w <= 20 THEN 1 WHEN rank IS NOT NULL THEN 2 ELSE 3 END AS step FROM b),
+o AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY step, CASE WHEN step IN (0, 2) THEN rank ELSE w END, id) AS place FROM s)
+SELECT qid, id, place FROM o WHERE place <= 20"""
+)
+def import_index(spark, sf):
+    c, q = active(spark, sf), asked(spark, sf)
+    ranked = lexical.ranked(lexical.evaluate(q, c), c, None)
+    return importing.index_pick(ranked, q.select("qid", "owner").join(c.select("owner", "id", "importance"), "owner"), 20)

@@ -42,3 +42,34 @@ def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_records, p6_found, p6_paths)}
+
+SQL: dict[str, str] = {
+    "p1_found": r"""WITH g AS (SELECT owner, coalesce(nullif(trim(tz), ''), 'UTC') AS tz, regexp_full_match(lower(coalesce(locale, '')), 'en([-_](us|ph))?') AS us FROM gardens),
+v AS (SELECT DISTINCT c.id, k.col, trim(k.raw) AS v, coalesce(g.tz, 'UTC') AS tz, coalesce(g.us, false) AS us FROM cards c LEFT JOIN g USING (owner), LATERAL (SELECT unnest(['o', 'c']) AS col, unnest([c.occurred_at, c.created_at]) AS raw) k),
+p AS (SELECT *, regexp_extract(v, '^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2}(?:\.\d+)?)? ?(?:(Z|[+-]\d{2}:?\d{2})|\[?([A-Z]{3,4}|[A-Za-z]+/[A-Za-z_]+)\]?)?$', ['d', 'hm', 's', 'off', 'zone']) AS iso,
+  regexp_extract(v, '^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})Z$', ['y', 'm', 'd', 'h', 'mi', 's']) AS pk,
+  regexp_extract(v, '^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) ([+-]\d{4})$', ['t', 'off']) AS mail,
+  regexp_extract(v, '^(\d{2})[/.](\d{2})[/.](\d{4}) (\d{2}:\d{2})(?: ([AP]M))?$', ['a', 'b', 'y', 'hm', 'half']) AS loc,
+  regexp_extract(v, '^(\d{4})年(\d{1,2})月(\d{1,2})日 (\d{2}:\d{2})$', ['y', 'm', 'd', 'hm']) AS zh FROM v),
+w AS (SELECT id, col, v, tz, CASE WHEN iso.d <> '' THEN try_cast(iso.d || ' ' || iso.hm || CASE WHEN iso.s <> '' THEN iso.s ELSE ':00' END AS TIMESTAMP)
+    WHEN pk.y <> '' THEN try_cast(pk.y || '-' || pk.m || '-' || pk.d || ' ' || pk.h || ':' || pk.mi || ':' || pk.s AS TIMESTAMP)
+    WHEN mail.t <> '' THEN try_strptime(mail.t, '%d %b %Y %H:%M:%S')
+    WHEN loc.half <> '' THEN try_strptime(CASE WHEN us THEN loc.a || ' ' || loc.b ELSE loc.b || ' ' || loc.a END || ' ' || loc.y || ' ' || loc.hm || ' ' || loc.half, '%m %d %Y %I:%M %p')
+    WHEN loc.y <> '' THEN try_strptime(CASE WHEN us THEN loc.a || ' ' || loc.b ELSE loc.b || ' ' || loc.a END || ' ' || loc.y || ' ' || loc.hm, '%m %d %Y %H:%M')
+    WHEN zh.y <> '' THEN try_cast(zh.y || '-' || lpad(zh.m, 2, '0') || '-' || lpad(zh.d, 2, '0') || ' ' || zh.hm || ':00' AS TIMESTAMP) END AS wall,
+  CASE WHEN iso.off <> '' THEN iso.off WHEN mail.off <> '' THEN mail.off WHEN pk.y <> '' THEN 'Z' WHEN iso.zone IN ('UTC', 'GMT') THEN 'Z' WHEN iso.zone = 'CET' THEN '+0100' WHEN iso.zone = 'CEST' THEN '+0200' WHEN iso.zone = 'EST' THEN '-0500' WHEN iso.zone = 'EDT' THEN '-0400'
+    WHEN iso.zone = 'PST' THEN '-0800' WHEN iso.zone = 'PDT' THEN '-0700' END AS off, CASE WHEN contains(iso.zone, '/') THEN iso.zone ELSE tz END AS region FROM p),
+e AS (SELECT id, col, CASE WHEN regexp_full_match(v, '\d{10}') THEN CAST(v AS BIGINT) * 1000000 WHEN regexp_full_match(v, '\d{13}') THEN CAST(v AS BIGINT) * 1000
+    WHEN off = 'Z' THEN epoch_us(wall) WHEN off IS NOT NULL THEN epoch_us(wall) - (CASE WHEN off[1] = '-' THEN -1 ELSE 1 END) * (CAST(substr(off, 2, 2) AS BIGINT) * 60 + CAST(right(off, 2) AS BIGINT)) * 60000000
+    WHEN timezone(region, timezone(region, wall) - INTERVAL 1 HOUR) = wall THEN epoch_us(timezone(region, wall) - INTERVAL 1 HOUR) ELSE epoch_us(timezone(region, wall)) END AS us FROM w)
+SELECT o.id FROM (SELECT id, us FROM e WHERE col = 'o') o JOIN (SELECT id, us FROM e WHERE col = 'c') c ON o.id = c.id WHERE o.us > c.us""",
+    "p6_found": r"""WITH RECURSIVE c AS (SELECT DISTINCT ON (id) id, superseded_by, supersedes FROM cards WHERE id IS NOT NULL),
+ids AS (SELECT lower(trim(id)) AS ref, min(id) AS other FROM c GROUP BY 1),
+links AS (SELECT c.id AS child, ids.other AS parent, 0 AS kind FROM c JOIN ids ON ids.ref = lower(trim(c.superseded_by))
+  UNION ALL SELECT ids.other, x.id, 1 FROM (SELECT id, unnest(supersedes) AS s FROM c) x JOIN ids ON ids.ref = lower(trim(x.s))),
+par AS (SELECT child, arg_min(parent, (kind, parent)) AS parent FROM links GROUP BY child),
+walk AS (SELECT id, id AS cur, [id] AS path, false AS ring FROM (SELECT child AS id FROM par UNION SELECT parent FROM par)
+  UNION ALL SELECT w.id, p.parent, CASE WHEN list_contains(w.path, p.parent) THEN list_slice(w.path, list_position(w.path, p.parent), len(w.path)) ELSE list_append(w.path, p.parent) END, list_contains(w.path, p.parent)
+  FROM walk w JOIN par p ON p.child = w.cur WHERE NOT w.ring)
+SELECT id, CASE WHEN ring THEN list_min(path) ELSE cur END AS root_id FROM walk w WHERE ring OR NOT EXISTS (SELECT 1 FROM par WHERE par.child = w.cur)""",
+}
