@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Scripts written without blanks, and particles that form no pair with a neighbour.
 CJK = "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
@@ -59,7 +60,7 @@ def tokenize(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokens(text: pd.Series) -> pd.Series:
     """`tokenize` as an Arrow function of columns."""
     return text.map(tokenize)

@@ -48,7 +48,8 @@ def units(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     chars = F.filter(F.regexp_extract_all(low, F.lit("([一-鿿])"), 1), lambda c: ~c.rlike(f"[{STOP_CHARS}]"))
     known = F.filter(F.array(*map(F.lit, GENERIC_PHRASES)), lambda p: F.contains(low, p))
     kinds = {"rare": F.filter(content, lambda w: ~generic(w) & (F.length(w) >= 3)), "weak": F.concat(F.filter(content, generic), chars, known), "phrase": F.concat(han, latin)}
-    each = F.flatten(F.array(*[F.transform(v, lambda u, k=k: F.struct(F.lit(k).alias("kind"), u.alias("unit"))) for k, v in kinds.items()]))
+    named = lambda k: lambda u: F.struct(F.lit(k).alias("kind"), u.alias("unit"))
+    each = F.flatten(F.array(*[F.transform(v, named(k)) for k, v in kinds.items()]))
     return rows.select(*keys, F.inline(F.array_distinct(each)))
 
 
