@@ -32,20 +32,25 @@ def _grams(items: Column, least: int, most: int, joiner: str) -> Column:
     return reduce(lambda a, b: F.concat(a, b), [of(k) for k in range(least, most + 1)])
 
 
-def units(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+def _han(low: Column) -> Column:
+    """Single Chinese characters that do not only join."""
+    return F.filter(F.regexp_extract_all(low, F.lit("([一-鿿])"), 1), lambda c: ~c.rlike(f"[{STOP_CHARS}]"))
+
+
+def units(rows: DataFrame, text: str, *keys: str, singles: bool = True) -> DataFrame:
     """(keys, kind, unit), distinct: rare and weak words, and phrases of 2 to 5 words or 2 to 4 Chinese characters without joining ones."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     words = F.regexp_extract_all(low, F.lit(r"([a-z0-9_]{2,})"), 1)
     content = F.filter(words, lambda w: ~w.isin(*STOP))
     generic = lambda w: w.isin(*GENERIC)
     chunks = F.regexp_extract_all(low, F.lit("([一-鿿]{2,})"), 1)
-    han = F.flatten(F.transform(chunks, lambda c: _grams(F.split(c, ""), 2, 4, "")))
+    han = F.flatten(F.transform(F.transform(chunks, lambda c: F.split(c, "")), lambda a: _grams(a, 2, 4, "")))
     han = F.filter(han, lambda g: ~g.rlike(f"[{STOP_CHARS}]") & ~g.isin(*GENERIC_PHRASES))
     runs = F.regexp_extract_all(low, F.lit(r"([a-z0-9_]+(?:[\s_\-]+[a-z0-9_]+)+)"), 1)
-    latin = F.flatten(F.transform(runs, lambda r: _grams(F.regexp_extract_all(r, F.lit(r"([a-z0-9_]+)"), 1), 2, 5, " ")))
+    latin = F.flatten(F.transform(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(r"([a-z0-9_]+)"), 1)), lambda a: _grams(a, 2, 5, " ")))
     plain = "|".join(("[a-z0-9_]", *STOP, *GENERIC))
     latin = F.filter(latin, lambda p: ~p.rlike(rf"^(?:{plain})(?: (?:{plain}))*$") & ~p.rlike(rf"^(?:{'|'.join(STOP)}) | (?:{'|'.join(STOP)})$"))
-    chars = F.filter(F.regexp_extract_all(low, F.lit("([一-鿿])"), 1), lambda c: ~c.rlike(f"[{STOP_CHARS}]"))
+    chars = _han(low) if singles else F.expr("cast(array() as array<string>)")
     known = F.filter(F.array(*map(F.lit, GENERIC_PHRASES)), lambda p: F.contains(low, p))
     kinds = {"rare": F.filter(content, lambda w: ~generic(w) & (F.length(w) >= 3)), "weak": F.concat(F.filter(content, generic), chars, known), "phrase": F.concat(han, latin)}
     named = lambda k: lambda u: F.struct(F.lit(k).alias("kind"), u.alias("unit"))
@@ -57,8 +62,8 @@ def relevance(queries: DataFrame, cards: DataFrame, scope: str = "owner", passin
     """(qid, id, score, confidence, reason) for pairs of one scope that share a unit; with `passing` those of at least MIN_RELEVANCE
     that are not weak. Phrases are matched whole: one of four or more characters is an entity. Null and blank texts share nothing.
     """
-    q = units(queries, "text", "qid", scope)
-    c = units(cards.filter("id is not null"), "text", "id", scope)
+    q = units(queries, "text", "qid", scope, singles=not passing)
+    c = units(cards.filter("id is not null"), "text", "id", scope, singles=not passing)
     shared = q.join(c, [scope, "kind", "unit"]).groupBy(scope, "qid", "id")
     long = F.length(F.regexp_replace("unit", " ", "")) >= 4
     n = shared.agg(
@@ -68,9 +73,14 @@ def relevance(queries: DataFrame, cards: DataFrame, scope: str = "owner", passin
         F.count_if(F.col("kind") == "weak").alias("weak"),
         F.count_if((F.col("kind") == "weak") & (F.col("unit").rlike("[a-z0-9_]") | (F.length("unit") >= 2))).alias("support"),
     )
+    # Single characters alone never pass; they count only beside one rare word, and are then looked for in the two texts.
     n = n.filter("entities > 0 or phrases > 0 or rare > 0 or support >= 2") if passing else n
     texts = n.join(queries.select("qid", F.col("text").alias("qt")), "qid").join(cards.select(scope, "id", F.col("text").alias("ct")), [scope, "id"])
-    texts = texts.withColumn("bigram", bigram_jaccard(F.col("qt"), F.col("ct")))
+    if passing:
+        lone = (F.col("entities") == 0) & (F.col("phrases") == 0) & (F.col("rare") == 1) & (F.col("weak") == 0)
+        texts = texts.withColumn("weak", F.when(lone & F.arrays_overlap(_han(F.lower("qt")), _han(F.lower("ct"))), F.lit(1).cast("long")).otherwise(F.col("weak")))
+    needs = (F.col("entities") == 0) & (F.col("phrases") == 0) & (F.col("rare") == 0)
+    texts = texts.withColumn("bigram", F.when(needs, bigram_jaccard(F.col("qt"), F.col("ct"))).otherwise(F.lit(0.0)))
     col = F.col
     rungs = (
         (col("entities") > 0, 0.86 + F.least(F.lit(0.08), 0.02 * col("entities")), "strong", "entity_phrase_match"),
