@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.pii_seeds import SEEDS
+from cardloom.session import written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 MOST_CHARS = 90
-#: Size of the sample of texts, chosen by hash, from which given names and surnames are learned; never twice as many.
-SAMPLE_TEXTS = 12_000
+#: Counts of words that a task holds before it passes them on to be added up.
+HELD_COUNTS = 200_000
 
 _FULL_WIDTH = {0xFF10 + k: 0x30 + k for k in range(10)}
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|point|punto|点)\s?[\])}]\s?|\s(?:dot|DOT|punkt|PUNKT|punto|PUNTO)\s)"
@@ -89,7 +90,7 @@ _ZH_BEFORE_STREET = set("是到在于去往至给址：，。、了 ")
 
 
 class Lexicon:
-    """Given names and surnames; what a sample of the texts adds to the given ones."""
+    """Given names and surnames; what the texts add to the given ones."""
 
     def __init__(self, given: set[str], surnames: set[str] = frozenset(), han: set[str] = frozenset()):
         self.given = {g for g in given if g and not re.match(rf"[{_HAN}]", g)}
@@ -99,34 +100,75 @@ class Lexicon:
         self.zh = re.compile("|".join(sorted(map(re.escape, self.han), key=lambda x: (-len(x), x)))) if self.han else None
 
 
-_KIN = re.compile(
-    rf"(?:[Mm]y (?:sister|brother|cousin|study partner|best friend|neighbour|friend)|[Oo]ur neighbour|new colleague|[Mm]eine (?:Schwester|Cousine|Freundin)|[Mm]ein (?:Bruder|Cousin|Freund)|[Uu]nser Nachbar|neue Kollegin|[Mm]a (?:sœur|cousine)|[Mm]on (?:frère|cousin|ami)|[Nn]otre voisin|nouvelle collègue|[Mm]i (?:hermana|hermano|prim[oa]|amig[oa])|[Nn]uestr[oa] vecin[oa]|nueva compañera) ({_CAP}[^\W\d_]+)"
-)
+#: What stands before a given name alone, and the last word of each.
+_KIN = tuple(
+    f"{first} {noun} "
+    for firsts, nouns in (
+        ("My my", ("sister", "brother", "cousin", "study partner", "best friend", "neighbour", "friend")), ("Our our", ("neighbour",)), ("new", ("colleague",)),
+        ("Meine meine", ("Schwester", "Cousine", "Freundin")), ("Mein mein", ("Bruder", "Cousin", "Freund")), ("Unser unser", ("Nachbar",)), ("neue", ("Kollegin",)),
+        ("Ma ma", ("sœur", "cousine")), ("Mon mon", ("frère", "cousin", "ami")), ("Notre notre", ("voisin",)), ("nouvelle", ("collègue",)),
+        ("Mi mi", ("hermana", "hermano", "primo", "prima", "amigo", "amiga")), ("Nuestro Nuestra nuestro nuestra", ("vecino", "vecina")), ("nueva", ("compañera",)),
+    )
+    for first in firsts.split()
+    for noun in nouns
+)
+_KIN_LAST = {k.split()[-1] for k in _KIN}
+_KIN_NAME = re.compile(rf"{_CAP}[^\W\d_]+")
 _LOW_WORD = re.compile(r"(?<![\w'’.+-])[a-zà-ÿ][\w'’-]+(?![\w'’@＠+._(\[-])")
 _ZH_KIN = re.compile(rf"(?:邻居|同事|表弟|表妹|姐姐|妹妹|哥哥|弟弟)([{_HAN}]{{2}})")
 
 
+class _Counts:
+    """What names are learned from: words in given names' places, words by the capitalised one before them, capitalised and common words."""
+
+    def __init__(self):
+        self.kin, self.han, self.after, self.alone, self.common = (Counter() for _ in range(5))
+
+    def add(self, text: str) -> None:
+        if not text.isascii():
+            self.han.update(_ZH_KIN.findall(text))
+        self.common.update(_LOW_WORD.findall(text))
+        for m in _TOKEN.finditer(text):
+            word, s = m.group(), m.start()
+            self.alone[word.lower()] += 1
+            if s and text[text.rfind(" ", 0, s - 1) + 1 : s - 1] in _KIN_LAST and text.endswith(_KIN, 0, s) and (n := _KIN_NAME.match(text, s)):
+                self.kin[n.group()] += 1
+            if n := _AFTER_GIVEN.match(text, m.end()):
+                self.after[word, n.group(3).lower()] += 1
+
+    def held(self) -> int:
+        return sum(map(len, vars(self).values()))
+
+    def rows(self) -> Iterator[tuple[str, str, str, str, int]]:
+        """(part, first, capitalised first, word, n); first is empty in all parts but `after`."""
+        for part, counts in vars(self).items():
+            for key, n in counts.items():
+                first, word = key if part == "after" else ("", key)
+                yield part, first, first.capitalize(), word, n
+
+
+def _least(known: list[int], least: int, otherwise: float, share: int) -> float:
+    """How often a new name must stand where given names stand; known: the counts of the given ones there."""
+    middle = sorted(known)[-(len(known) // 2 + 1) :][:1]
+    return max(least, (middle or [otherwise])[0] / share)
+
+
+_LATIN_RULE, _HAN_RULE = (2, 20, 10), (3, 1e9, 3)
+_plain = lambda k: k[0] + k[1:].lower() == k
+
+
 def learn(texts: list[str], given: set[str]) -> Lexicon:
     """Names that stand where known given names stand, as often as a tenth (Chinese: a third) of these do; surnames after given names."""
-    latin, han = Counter(), Counter()
-    for t in texts:
-        latin.update(_KIN.findall(t))
-        han.update(_ZH_KIN.findall(t))
-    middle = lambda c: sorted(v for k, v in c.items() if k in given)[-(sum(k in given for k in c) // 2 + 1) :][:1]
-    more = {k for k, v in latin.items() if v >= max(2, (middle(latin) or [20])[0] / 10) and (k[0] + k[1:].lower()) == k}
-    zh = {k for k, v in han.items() if v >= max(3, (middle(han) or [1e9])[0] / 3)}
-    base = Lexicon(given | more, han=zh)
-    after, alone, common = Counter(), Counter(), Counter()
+    c = _Counts()
     for t in texts:
-        common.update(_LOW_WORD.findall(t))
-        tokens = _TOKEN.finditer(t)
-        for m in tokens:
-            alone[m.group().lower()] += 1
-            if m.group() in base.given or m.group().capitalize() in base.given:
-                n = _AFTER_GIVEN.match(t, m.end())
-                if n:
-                    after[n.group(3).lower()] += 1
-    surnames = {w for w, n in after.items() if n >= 2 and n >= 0.5 * alone[w] and n > common[w] and w not in base.low}
+        c.add(t)
+    enough = lambda part, rule: {k for k, v in part.items() if v >= _least([n for g, n in part.items() if g in given], *rule)}
+    base = Lexicon(given | set(filter(_plain, enough(c.kin, _LATIN_RULE))), han=enough(c.han, _HAN_RULE))
+    after = Counter()
+    for (first, word), n in c.after.items():
+        if first in base.given or first.capitalize() in base.given:
+            after[word] += n
+    surnames = {w for w, n in after.items() if n >= 2 and n >= 0.5 * c.alone[w] and n > c.common[w] and w not in base.low}
     return Lexicon(base.given | base.han, surnames)
 
 
@@ -332,15 +374,47 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    """(part, first, cap, word, n) over all texts (a column `text`): what _Counts has, added up."""
+    names = ["part", "first", "cap", "word", "n"]
+
+    def batch_of(c: _Counts) -> pa.RecordBatch:
+        cols = list(zip(*c.rows())) or [()] * 5
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in cols[:4]), pa.array(cols[4], pa.int64())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = _Counts()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                c.add(t)
+                if c.held() >= HELD_COUNTS:
+                    yield batch_of(c)
+                    c = _Counts()
+        yield batch_of(c)
+
+    parts = texts.select("text").mapInArrow(run, "part string, first string, cap string, word string, n bigint")
+    return parts.groupBy("part", "first", "cap", "word").agg(F.sum("n").alias("n"))
+
+
 def lexicon(texts: DataFrame, given_names: DataFrame) -> Lexicon:
-    """The lexicon for a corpus (a column `text`): the given names, and what a sample of about SAMPLE_TEXTS texts adds (never twice as many)."""
-    rows = texts.filter("text is not null").select("text")
-    n = rows.count()
-    if n > SAMPLE_TEXTS:  # by hash, before anything is sorted or sent: no task gives more than its share
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_TEXTS / n))
-    sample = rows.distinct().limit(2 * SAMPLE_TEXTS)
-    given = {r.given for r in given_names.select("given").distinct().collect() if r.given}
-    return learn([r.text for r in sample.collect()], given)
+    """The lexicon for a corpus (a column `text`): what learn() makes of all its distinct texts. Only words over the thresholds are collected."""
+    named = given_names.select(F.col("given").alias("word")).filter("word <> ''").distinct()
+    given = {r.word for r in named.collect()}
+    counts = written(_counted(texts.filter("text is not null").select("text").distinct()), "name_counts")
+    part = lambda name: counts.filter(F.col("part") == name)
+
+    def enough(name: str, rule: tuple) -> set[str]:
+        known = [r.n for r in part(name).join(named, "word", "left_semi").select("n").collect()]
+        return {r.word for r in part(name).filter(F.col("n") >= _least(known, *rule)).select("word").collect()}
+
+    base = Lexicon(given | set(filter(_plain, enough("kin", _LATIN_RULE))), han=enough("han", _HAN_RULE))
+    firsts = texts.sparkSession.createDataFrame([(g,) for g in sorted(base.given)], "given string")
+    after = part("after").withColumn("given", F.explode(F.array_distinct(F.array("first", "cap")))).join(firsts, "given", "left_semi")
+    after = after.groupBy("first", "word").agg(F.max("n").alias("n")).groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 2")
+    for name in ("alone", "common"):
+        after = after.join(part(name).select("word", F.col("n").alias(name)), "word", "left")
+    sure = after.filter("n >= 0.5 * coalesce(alone, 0) and n > coalesce(common, 0)").select("word").collect()
+    return Lexicon(base.given | base.han, {r.word for r in sure} - base.low)
 
 
 def scan(texts: DataFrame, lex: Lexicon) -> DataFrame:

@@ -63,3 +63,13 @@ def test_names_are_learned():
     texts = ["My sister Zelda saw my cousin Nora. Zelda Quorn came.", "My sister Zelda and Nora Quorn left.", "My sister Zelda met Nora Quorn."] * 2
     lex = pii.learn(texts, {"Nora"})
     assert "Zelda" in lex.given and "quorn" in lex.surnames
+
+
+def test_names_are_learned_from_all_texts(spark):
+    letters = "bdfgklmnprstvz"
+    rare = [f"Q{a}u{b}i{c}en" for a, b, c in itertools.product(letters, letters, "klm")]
+    texts = [f"Note {k}: then Nora {s} came." for s in rare for k in (1, 2)] + [f"Note {k}: my sister Zelda met my cousin Nora and 邻居晚晴." for k in range(3)] + [f"plain text {k}" for k in range(30_000)]
+    df, names = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(8), spark.createDataFrame([("Nora",), ("晚晴",), (None,)], "given string")
+    got, want = pii.lexicon(df, names), pii.learn(texts, {"Nora", "晚晴"})
+    assert {s.lower() for s in rare} <= got.surnames
+    assert (got.given, got.han, got.surnames) == (want.given, want.han, want.surnames) and "Zelda" in got.given
