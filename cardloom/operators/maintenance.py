@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import constants as C
 from cardloom.operators.lifecycle import with_status
+from cardloom.session import written
 
 VERSION_FIELDS = ("summary", "content", "bucket", "threads", "occurred_at", "retrieval_cues", "importance", "pulse", "source", "supersedes")
 
@@ -79,14 +83,46 @@ def fuse_blown(retiring: Column, active: Column, ratio: float = C.FUSE_RATIO, le
     return (retiring >= least) & (retiring > active * ratio)
 
 
-def leaked_ids(texts: DataFrame, ids: DataFrame, least: int = C.ID_LEAK_CHARS) -> DataFrame:
-    """texts: key, text; ids: id. (key, id): the smallest known id that stands in each text.
+_GRAM = C.ID_LEAK_CHARS
+_CLASS = np.array([2] * 48 + [0] * 10 + [2] * 7 + [1] * 26 + [2] * 6 + [1] * 26 + [2] * 5 + [2], np.int64)
 
-    Ids are found as tokens of letters, digits and '_', '-': an equi-join, not a search of every text for every id.
+
+def _shapes_of(text: str) -> np.ndarray:
+    """For every position with _GRAM characters: a number of their classes (digit, ASCII letter, other), one of 3^_GRAM."""
+    kinds = _CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
+    n = len(kinds) - _GRAM + 1
+    return sum((kinds[k : k + n] * 3**k for k in range(_GRAM)), np.zeros(max(n, 0), np.int64)) if n > 0 else np.zeros(0, np.int64)
+
+
+def leaked_ids(texts: DataFrame, ids: DataFrame, keys: tuple[str, ...] = ("key",), scope: str = "owner") -> DataFrame:
+    """texts: scope, keys (strings), text; ids: scope, id. (keys, id): the smallest known id of the same scope that stands anywhere in each text.
+
+    Ids are substrings, trimmed, of at least ID_LEAK_CHARS characters. An id is looked up by its last ID_LEAK_CHARS characters wherever
+    a text has characters of such classes (at most 6,561 kinds), with as much of the text before them as the longest id has.
     """
-    token = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Za-z0-9_\-]{8,160})"), 1)))
-    known = ids.filter(F.length("id") >= least).select("id").distinct()
-    return texts.select("key", token.alias("id")).join(known, "id").groupBy("key").agg(F.min("id").alias("id"))
+    known = ids.select(F.coalesce(scope, F.lit("")).alias("scope_"), F.regexp_replace("id", r"(?U)^\s+|\s+$", "").alias("id")).filter(F.length("id") >= _GRAM).distinct()
+    known = written(known.withColumn("gram", F.expr(f"right(id, {_GRAM})")), "known-ids")
+    kind = F.regexp_replace(F.regexp_replace(F.regexp_replace("gram", r"[^0-9A-Za-z]", "-"), "[A-Za-z]", "a"), "[0-9]", "0")
+    number = {"0": 0, "a": 1, "-": 2}
+    shapes = {sum(number[c] * 3**k for k, c in enumerate(r.kind)) for r in known.select(kind.alias("kind")).distinct().collect()}
+    longest = known.agg(F.max(F.length("id")).alias("n")).first()["n"] or _GRAM
+    wanted = np.zeros(3**_GRAM, bool)
+    wanted[list(shapes)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, grams, heads = [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                found = {text[max(0, at + _GRAM - longest) : at + _GRAM] for at in np.flatnonzero(wanted[_shapes_of(text)]).tolist()}
+                rows += [k] * len(found)
+                grams += [x[-_GRAM:] for x in found]
+                heads += found
+            left = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("scope_", *keys)]
+            yield pa.RecordBatch.from_arrays([*left, pa.array(grams, pa.string()), pa.array(heads, pa.string())], names=["scope_", *keys, "gram", "head"])
+
+    rows = texts.filter(F.length("text") >= _GRAM).select(F.coalesce(scope, F.lit("")).alias("scope_"), *keys, "text")
+    places = rows.mapInArrow(run, ", ".join(f"`{c}` string" for c in ("scope_", *keys, "gram", "head")))
+    return places.join(known, ["scope_", "gram"]).filter(F.endswith("head", "id")).groupBy(*keys).agg(F.min("id").alias("id"))
 
 
 def seed_generations(feed: DataFrame, marker: str = C.DREAM_SOURCE) -> DataFrame:

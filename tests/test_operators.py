@@ -126,3 +126,33 @@ def test_metrics_and_order(spark):
     rows = ordering.numbered(values, ["v"]).orderBy("place").collect()
     assert [r.place for r in rows] == list(range(100)) and [r.v for r in rows] == sorted(r.v for r in rows)
     assert {r.p: r.value for r in metrics.nearest_rank(values, "v", [0, 50, 100]).collect()} == {0: rows[0].v, 50: rows[50].v, 100: rows[99].v}
+
+
+def test_leaked_ids_equal_a_substring_search(spark, tmp_path):
+    from cardloom.operators import maintenance
+    from cardloom.plans import memory
+
+    rng = random.Random(5)
+    ids = [("o1", " m_000000017 "), ("o1", "m_00000001"), ("o1", "卡片-0001-αβγδ"), ("o2", "x" * 170), ("o1", "short"), ("o2", "a b.c/d#e"), (None, "nobody_1"), ("o1", None)]
+    ids += [(f"o{rng.randint(1, 2)}", "".join(rng.choice("ab01_-é") for _ in range(rng.randint(8, 12)))) for _ in range(60)]
+    texts = [("o1", "t0", "seem_000000017x"), ("o2", "t1", "m_000000017"), ("o1", "t2", None), ("o1", "t3", ""), ("o2", "t4", "y" + "x" * 171), ("o2", "t5", "(a b.c/d#e)"), (None, "t6", "nobody_12"), ("o1", "t7", "😀卡片-0001-αβγδ。")]
+    for k in range(200):
+        o, i = rng.choice([x for x in ids if x[1]])
+        texts.append((rng.choice((o, "o1", "o2")), f"r{k}", "".join(rng.choice("ab01_-é ") for _ in range(30)) + i[rng.randint(0, 1) :] + rng.choice(("", "z", " end"))))
+    want = {}
+    for o, k, t in texts:
+        hit = [i.strip() for p, i in ids if i and p == o and len(i.strip()) >= 8 and i.strip() in (t or "")]
+        if hit:
+            want[k] = min(hit, key=lambda x: x.encode())
+    t, i = spark.createDataFrame(texts, "owner string, key string, text string"), spark.createDataFrame(ids, "owner string, id string")
+    assert {r.key: r.id for r in maintenance.leaked_ids(t, i).collect()} == want and {"t0", "t4", "t5", "t6", "t7"} <= set(want) and "t1" not in want
+    assert maintenance.leaked_ids(t, i.limit(0)).collect() == []
+
+    cards = [("m_000000001", "o1", "see m_000000002.", "none"), ("m_000000002", "o1", "none", "xm_000000001x"), ("m_000000003", "o2", "m_000000001", None)]
+    spark.createDataFrame(cards, "id string, owner string, summary string, content string").write.parquet(f"{tmp_path}/cards.parquet")
+    feed = [(1, "o1", ("g_000000009", "s", "m_000000002!"), None, None), (2, "o1", None, {"content": "ag_000000009b"}, "merged m_000000001"), (3, "o2", None, {"content": "g_000000009"}, None)]
+    spark.createDataFrame(feed, "feed_seq bigint, owner string, card struct<id:string,summary:string,content:string>, changes map<string,string>, reason string").write.parquet(f"{tmp_path}/mutations.parquet")
+    assert {tuple(r) for r in memory.QUERIES["id_leak"](spark, str(tmp_path)).collect()} == {
+        ("cards", "m_000000001", "summary", "m_000000002"), ("cards", "m_000000002", "content", "m_000000001"),
+        ("mutations", "1", "card.content", "m_000000002"), ("mutations", "2", "changes.content", "g_000000009"), ("mutations", "2", "reason", "m_000000001"),
+    }
