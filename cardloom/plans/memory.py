@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import constants as C
 from cardloom.functions import text as X
+from cardloom.functions import timeparse
 from cardloom.operators import budgets, evidence, fusion, importing, lexical, lifecycle, maintenance, metrics, related, selection
 from cardloom.sources.tables import table
 
@@ -32,9 +33,8 @@ def query(sql: str | None):
 def cards(spark: SparkSession, sf: str) -> DataFrame:
     """Cards, rows delivered twice once, with the text that queries match and the times they are ordered by."""
     c = table(spark, sf, "cards").dropDuplicates(["id"])
-    day = F.when(F.col("occurred_at").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring("occurred_at", 1, 10))
     text = X.match_text(None, [F.col("summary"), F.col("content"), F.col("bucket")], [F.col("threads"), F.col("retrieval_cues")])
-    return c.withColumns({"text": text, "occurred_ts": day, "created_ts": F.col("updated_at")})
+    return c.withColumns({"text": text, "occurred_ts": timeparse.iso_instant(F.col("occurred_at")), "created_ts": F.col("updated_at")})
 
 
 _CARDS = r"""c AS (SELECT DISTINCT ON (id) * FROM cards),

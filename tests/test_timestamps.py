@@ -77,3 +77,21 @@ def test_hot_values_are_looked_up_apart(spark, monkeypatch):
     df = spark.createDataFrame([("2025-01-01T00:00:00Z", "UTC", "en")] * 200 + [("2025-01-02T00:00:00Z", "UTC", "en")], "raw string, tz string, loc string")
     out = timestamps.normalise(df, ["raw"], "tz", "loc").groupBy("raw_utc").count().collect()
     assert sorted(r["count"] for r in out) == [1, 200]
+
+
+def test_cards_are_ordered_by_instant(spark, tmp_path):
+    from cardloom.plans import memory
+
+    newest_first = [
+        ("z", "2025-05-02T01:00:00"), ("y", " 2025-05-02T02:30:00+02:00"), ("x", "20250502T001500Z"), ("w", "2025-05-02"), ("v", "2025-05-02T05:00:00+08:00"), ("u", "2025-05-01 20:00:00.5"),
+        ("a", "2025-05-03 10:00 UTC"), ("b", "2025年5月4日"), ("c", "2025-13-01"), ("d", "0001-01-01T00:00:00+05:00"), ("e", ""), ("f", None),
+    ]
+    schema = "id string, owner string, occurred_at string, updated_at string, summary string, content string, bucket string, threads array<string>, retrieval_cues array<string>, role string, status string, superseded_by string, archived boolean"
+    row = lambda i, t, owner: (i, owner, t, "", "", "", None, None, None, "turning_point", "active", None, False)
+    rows = [row(i, t, "all") for i, t in newest_first] + [row(f"{k}{i}", t, f"from{k}") for k in range(10) for i, t in newest_first[k:]]
+    spark.createDataFrame(rows[::-1], schema).write.parquet(f"{tmp_path}/cards.parquet")
+    got = {}
+    for r in memory.QUERIES["role_topk"](spark, str(tmp_path)).orderBy("owner", "rank").collect():
+        got.setdefault(r.owner, []).append(r.id)
+    assert got["all"] == ["z", "y", "x"]
+    assert all(got[f"from{k}"] == [f"{k}{i}" for i, _ in newest_first[k : k + 3]] for k in range(10))
