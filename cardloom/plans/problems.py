@@ -41,7 +41,12 @@ def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.paths(table(spark, sf, "cards", "id", "superseded_by", "supersedes")).withColumn("path", F.array_join("path", "/"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_records, p6_found, p6_paths)}
+def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every descendant of every linked card, with its distance. As large as that is: n^2 / 2 rows for a chain of n cards."""
+    return hierarchy.closure(hierarchy.forest(hierarchy.parents(table(spark, sf, "cards", "id", "superseded_by", "supersedes"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_records, p6_found, p6_paths, p6_descendants)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""WITH g AS (SELECT owner, coalesce(nullif(trim(tz), ''), 'UTC') AS tz, regexp_full_match(lower(coalesce(locale, '')), 'en([-_](us|ph))?') AS us FROM gardens),

@@ -64,3 +64,19 @@ def test_references(spark):
 
 def test_empty(spark):
     assert h.paths(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_descendants_are_a_query(spark, tmp_path):
+    from cardloom.plans import problems
+
+    up = {"b": "a", "c": "b", "d": "b", "e": "d", "g": "f"}
+    rows = [(i, up.get(i), None) for i in "abcdefgh"]
+    spark.createDataFrame(rows, "id string, superseded_by string, supersedes array<string>").write.parquet(f"{tmp_path}/cards.parquet")
+    want = set()
+    for i in up:
+        at, n = i, 0
+        while at in up:
+            at, n = up[at], n + 1
+            want.add((at, i, n))
+    got = [tuple(r) for r in problems.QUERIES["p6_descendants"](spark, str(tmp_path)).select("ancestor", "descendant", "distance").collect()]
+    assert len(got) == len(want) and set(got) == want
