@@ -4,17 +4,16 @@ A text is its set of words. Its fingerprint has 143 bits: each word flips one. T
 bits as the sets differ in words, so a pair of similarity t and sizes a, b lies within (1 - t) / (1 + t) * (a + b) bits: the search
 radius, at which no pair is lost. Fingerprints meet in shards, one for each of BANDS keys of least hashed words, so that a text
 is in several shards and those of neighbours overlap (a pair at similarity 0.7 shares no shard with probability 4e-5, a closer one with
-less). In a shard, a vantage-point tree parts the fingerprints by their Hamming distance to a vantage point; the triangle inequality
-prunes, and only the rims on both sides of a boundary are compared across it. What remains is compared exactly, word by word.
-A shard that is larger than SHARD_ROWS is cut into blocks, and each two blocks meet in a task of their own; which shards are that large
-is told by a sample of the sets, and only how the work is dealt out depends on it.
+less). Every shard of two texts or more is a vantage-point tree: its fingerprints are parted by their Hamming distance to a vantage
+point, the triangle inequality prunes, and only the rims on both sides of a boundary are compared across it. What remains is compared
+exactly, word by word. A shard that is larger than SHARD_ROWS is cut into blocks, and each two blocks meet in a task of their own; which
+shards are that large is told by a sample of the sets, and only how the work is dealt out depends on it.
 
 What is shuffled for a text and shard is four numbers: (shard, size, 15 bits), twice 64 bits, and the set's 64-bit digest.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -30,9 +29,15 @@ BANDS, ROWS = 24, 3
 SHARD_ROWS = 200_000
 #: One in so many sets is counted to find large shards.
 COUNTED = 64
-#: Sizes from here on are not told apart in a shard: such sets are compared exactly with all near ones.
-_MOST = 4095
-LEAF = 64
+#: Twelve bits tell a set's size: as it is below 2,048, above within 0.3 %; from half a million words on, sizes are not told apart.
+_EXACT, _FINE = 2048, 256
+_LOW = np.concatenate([np.arange(_EXACT), np.floor(_EXACT * 2 ** (np.arange(_EXACT) / _FINE))])
+_HIGH = np.concatenate([np.arange(_EXACT), np.ceil(_EXACT * 2 ** ((np.arange(_EXACT) + 1) / _FINE))])
+_HIGH[-1] = np.inf
+#: Distances fit into 20 bits; so many pairs are compared at once.
+_FAR, _WIDE, _PAIRS = (1 << 20) - 1, 1 << 20, 1 << 20
+#: Ids with one and the same set of words are paired in blocks of so many.
+COPIES = 1000
 _WORD = re.compile(r"[一-鿿㐀-䶿]|[^\W_一-鿿㐀-䶿]+")
 _REMEMBERED = 150_000
 
@@ -42,6 +47,12 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _size_code(n: np.ndarray) -> np.ndarray:
+    """The twelve bits of sizes."""
+    large = _EXACT + np.floor(_FINE * np.log2(np.maximum(n, _EXACT) / _EXACT) + 1e-9).astype(np.int64)
+    return np.where(n < _EXACT, n, np.minimum(large, 2 * _EXACT - 1))
+
+
 class _Hasher:
     """Words to 64-bit hashes and least-hash rows, remembered by a worker."""
 
@@ -123,7 +134,7 @@ def sketches(texts: DataFrame) -> DataFrame:
                 long = lambda x: pa.array(x.astype(np.int64))
                 ends = np.concatenate([[0], np.cumsum(s["count"])]).astype(np.int32)
                 keyed = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), pa.array(s["keys"].reshape(-1).astype(np.uint32).view(np.int32)))
-                g = pa.array((np.minimum(s["count"], _MOST) << 15 | s["f3"].astype(np.int64)).astype(np.int32))
+                g = pa.array((_size_code(s["count"]) << 15 | s["f3"].astype(np.int64)).astype(np.int32))
                 arrays = [part.column(0).take(pa.array(keep)), long(s["d1"]), pa.ListArray.from_arrays(pa.array(ends), long(s["hashes"])), long(s["f1"]), long(s["f2"]), g, keyed]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "d", "words", "f", "e", "g", "keys"])
 
@@ -131,90 +142,83 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, f"id {kind}, d bigint, words array<bigint>, f bigint, e bigint, g int, keys array<int>")
 
 
-class _Shard:
-    """Fingerprints of one task, searched by vantage-point trees."""
+class _Forest:
+    """Fingerprints of a task: one vantage-point tree for every shard, all trees grown level by level together."""
 
-    def __init__(self, f1: np.ndarray, f2: np.ndarray, f3: np.ndarray, n: np.ndarray, least: float):
-        self.f1, self.f2, self.f3, self.n, self.least = f1, f2, f3, n.astype(np.int64), least
-        self.share = (1 - least) / (1 + least)
+    def __init__(self, f1: np.ndarray, f2: np.ndarray, f3: np.ndarray, code: np.ndarray, least: float):
+        self.f1, self.f2, self.f3, self.least = f1, f2, f3.astype(np.uint16), least
+        self.low, self.high = _LOW[code], _HIGH[code]
+        self.reach = (1 - least) / (1 + least) * self.high
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
+        self.compared = 0
 
-    def distance(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-        return sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in (self.f1, self.f2, self.f3))
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count(self.f1[a] ^ self.f1[b])
+        d += np.bitwise_count(self.f2[a] ^ self.f2[b])
+        d += np.bitwise_count(self.f3[a] ^ self.f3[b])
+        return d
 
-    def near(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Keep those of the pairs (a, b) whose fingerprints and sizes allow the similarity."""
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Keep those of the pairs (a, b) whose fingerprints and sizes allow the similarity; returns the distances."""
+        self.compared += len(a)
         d = self.distance(a, b)
-        na, nb = self.n[a], self.n[b]
-        ok = (d <= self.share * (na + nb) + 1e-9) & (np.minimum(na, nb) >= self.least * np.maximum(na, nb) - 1e-9) | (na >= _MOST) | (nb >= _MOST)
-        if ok.any():
+        ok = np.flatnonzero(d <= self.reach[a] + self.reach[b] + 1e-6)
+        if len(ok):
+            a, b = a[ok], b[ok]
+            ok = (self.high[a] >= self.least * self.low[b] - 1e-6) & (self.high[b] >= self.least * self.low[a] - 1e-6)
             self.left.append(a[ok])
             self.right.append(b[ok])
-
-    def across(self, a: np.ndarray, b: np.ndarray) -> None:
-        """All near pairs between `a` and `b`, in blocks of like sizes; most fall to the first 128 bits."""
-        a, b = a[np.argsort(self.n[a], kind="stable")], b[np.argsort(self.n[b], kind="stable")]
-        reach = np.minimum(np.ceil(self.share * self.n), 100).astype(np.uint8)
-        for i in range(0, len(a), 512):
-            x = a[i : i + 512]
-            for j in range(0, len(b), 1024):
-                y = b[j : j + 1024]
-                most = max(self.n[x[-1]], self.n[y[-1]])
-                if most < _MOST and (self.n[x[-1]] < self.least * self.n[y[0]] - 1e-9 or self.n[y[-1]] < self.least * self.n[x[0]] - 1e-9):
-                    continue
-                d = np.bitwise_count(self.f1[x][:, None] ^ self.f1[y][None, :])
-                d += np.bitwise_count(self.f2[x][:, None] ^ self.f2[y][None, :])
-                p, q = np.nonzero(d <= reach[x][:, None] + reach[y][None, :]) if most < _MOST else np.indices(d.shape).reshape(2, -1)
-                if len(p):
-                    self.near(x[p], y[q])
-
-    def tree(self, at: np.ndarray) -> None:
-        """All near pairs within `at`."""
-        todo = [at]
-        while todo:
-            at = todo.pop()
-            if len(at) <= LEAF:
-                i, j = np.triu_indices(len(at), 1)
-                self.near(at[i], at[j])
-                continue
-            v = at[len(at) // 2]
-            d = self.distance(at, v)
-            middle = int(np.median(d))
-            inside = d <= middle
-            if inside.all():
-                inside = d < middle
-            if not inside.any() or inside.all():  # all as far from the vantage point: no boundary to cut at
-                half = len(at) // 2
-                todo += [at[:half], at[half:]]
-                self.across(at[:half], at[half:])
-                continue
-            most = int(self.n[at].max())
-            radius = self.share * 2 * most if most < _MOST else math.inf
-            a, da, b, db = at[inside], d[inside], at[~inside], d[~inside]
-            todo += [a, b]
-            order = np.argsort(db, kind="stable")
-            b, db = b[order], db[order]
-            a, da = (x[np.argsort(-da, kind="stable")] for x in (a, da))
-            for i in range(0, len(a), 4096):  # rims: only points whose distances differ by at most the radius
-                if da[i] + radius < db[0]:
-                    break
-                reach = np.searchsorted(db, da[i] + radius, side="right")
-                if reach:
-                    self.across(a[i : i + 4096], b[:reach])
-
-    def small(self, key: np.ndarray) -> np.ndarray:
-        """All near pairs in shards of at most LEAF rows, over rows sorted by shard; returns the starts of larger shards."""
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        place = np.arange(len(key)) - np.repeat(starts, sizes)
-        size = np.repeat(sizes, sizes)
-        for shift in range(1, LEAF):
-            a = np.flatnonzero((size <= LEAF) & (place + shift < size))
-            if not len(a):
+        return d
+
+    def search(self, shard: np.ndarray) -> None:
+        """All near pairs of rows with one value of `shard`, which is sorted.
+
+        In a node whose sizes differ by more than the similarity allows the vantage point is the empty set (a size is the distance to
+        it), else the first row. The node is parted at the median distance; a pair is compared across the boundary only if its two
+        distances differ by no more than the radius: the triangle inequality rules out the rest. Parts go on as nodes of the next level.
+        """
+        at, node = np.arange(len(shard)), np.cumsum(np.concatenate([[0], (shard[1:] != shard[:-1]).astype(np.int64)])) if len(shard) else shard
+        apart = np.minimum((1 - self.least) / self.least * self.high + 1, _FAR)  # no similar set differs in more words
+        largest = np.minimum(self.high / self.least + 1e-6, _FAR)
+        while len(at):
+            alive = np.bincount(node)[node] > 1
+            at, node = at[alive], node[alive]
+            if not len(at):
                 break
-            self.near(a, a + shift)
-        return starts[sizes > LEAF]
+            head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            which = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(node)]])))
+            hollow = np.maximum.reduceat(self.low[at], head) * self.least > np.minimum.reduceat(self.high[at], head)
+            vantage = at[head][which]
+            rest = np.ones(len(at), bool)
+            rest[head[~hollow]] = False
+            at, vantage, which = at[rest], vantage[rest], which[rest]
+            d = self.low[at].astype(np.int64)
+            own = np.flatnonzero(~hollow[which])
+            for k in range(0, len(own), _PAIRS):
+                part = own[k : k + _PAIRS]
+                d[part] = self.near(at[part], vantage[part])
+            order = np.argsort(which * _WIDE + d, kind="stable")
+            at, d, which = at[order], d[order], which[order]
+            size = np.bincount(which, minlength=len(head))
+            start = np.cumsum(size) - size
+            outside = np.arange(len(at)) - start[which] >= ((size + 1) // 2)[which]
+            inner = np.flatnonzero(~outside)
+            first = (start + (size + 1) // 2)[which[inner]]
+            rim = np.where(hollow[which[inner]], largest[at[inner]], d[inner] + apart[at[inner]]).astype(np.int64)
+            many = np.maximum(np.searchsorted(which * _WIDE + d, which[inner] * _WIDE + np.minimum(rim, _FAR), side="right") - first, 0)
+            total = np.cumsum(many)
+            k = 0
+            while k < len(inner) and total[-1]:
+                upto = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + _PAIRS, side="right")))
+                m = many[k:upto]
+                a = np.repeat(at[inner[k:upto]], m)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[k:upto], m)
+                if len(a):
+                    self.near(a, at[b])
+                k = upto
+            node = which * 2 + outside
+            node = np.cumsum(np.concatenate([[0], (node[1:] != node[:-1]).astype(np.int64)])) if len(node) else node
 
 
 def _search(shards: DataFrame, least: float) -> DataFrame:
@@ -226,16 +230,15 @@ def _search(shards: DataFrame, least: float) -> DataFrame:
 
     def join(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         a = rows["a"].view(np.uint64)
-        shard = _Shard(rows["f"].view(np.uint64), rows["e"].view(np.uint64), a & np.uint64(0x7FFF), (a >> np.uint64(15)).astype(np.int64) & 0xFFF, least)
-        key = (a >> np.uint64(27)).astype(np.int64)
+        trees = _Forest(rows["f"].view(np.uint64), rows["e"].view(np.uint64), a & np.uint64(0x7FFF), (a >> np.uint64(15)).astype(np.int64) & 0xFFF, least)
+        shard = (a >> np.uint64(27)).astype(np.int64)
         blocks = "side" in rows
         if blocks:
-            key = key + (rows["i"].astype(np.int64) * 1_000_003 + rows["j"]) * np.int64(0x5851F42D4C957F2D)
-        for start in shard.small(key):
-            other = np.flatnonzero(key[start:] != key[start])
-            shard.tree(np.arange(start, start + other[0] if len(other) else len(key)))
-        p = np.concatenate(shard.left) if shard.left else np.empty(0, np.int64)
-        q = np.concatenate(shard.right) if shard.right else np.empty(0, np.int64)
+            shard = shard + (rows["i"].astype(np.int64) * 1_000_003 + rows["j"]) * np.int64(0x5851F42D4C957F2D)
+            shard = np.cumsum(np.concatenate([[0], (shard[1:] != shard[:-1]).astype(np.int64)]))
+        trees.search(shard)
+        p = np.concatenate(trees.left) if trees.left else np.empty(0, np.int64)
+        q = np.concatenate(trees.right) if trees.right else np.empty(0, np.int64)
         if blocks:
             cross = (rows["i"][p] == rows["j"][p]) | (rows["side"][p] != rows["side"][q])
             p, q = p[cross], q[cross]
@@ -314,11 +317,21 @@ def near_pairs(texts: DataFrame, least: float = 0.7) -> DataFrame:
     members = sets.select("id", "d").distinct()
     a, b = members.select(F.col("id").alias("u"), F.col("d").alias("x")), members.select(F.col("id").alias("v"), F.col("d").alias("y"))
     between = similar_sets(sets, least).join(a, "x").join(b, "y").select("u", "v")
-    within = a.join(b.withColumnRenamed("y", "x"), "x").filter("u < v").select("u", "v")
+    within = _copies(members)
     pairs = between.unionAll(within).filter("u <> v")
     return pairs.select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b")).distinct()
 
 
+def _copies(members: DataFrame) -> DataFrame:
+    """(u, v): all pairs of ids (u < v) with the same digest. A digest of many ids is cut into blocks, each two of which meet in a task."""
+    blocks = members.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d", F.ceil(F.col("n") / COPIES).cast("int").alias("blocks"))
+    each = members.join(blocks, "d").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("d", "id", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    a, b = each.select("d", "i", "j", F.col("id").alias("u"), "side"), each.select("d", "i", "j", F.col("id").alias("v"), F.col("side").alias("side_v"))
+    return a.join(b, ["d", "i", "j"]).filter((F.col("u") < F.col("v")) & ((F.col("i") == F.col("j")) | (F.col("side") != F.col("side_v")))).select("u", "v")
+
+
 def classes(texts: DataFrame, least: float = 0.7) -> DataFrame:
     """One row per text with words: id, class_id (the smallest id that a chain of similar texts leads to), n_links, n_copies.
 
@@ -340,11 +353,12 @@ def classes(texts: DataFrame, least: float = 0.7) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components of the edges (u, v), each named by its smallest node.
 
-    Each round every node takes the smallest label around it and then the label of its label, so that chains halve.
+    Each round every node takes the smallest label around it and then the label of its label, so that chains halve. Labels only fall,
+    so the rounds end; they go on until no label moves.
     """
     both = written(edges.unionAll(edges.select("v", "u")).distinct(), "edges")
     label = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")), "labels")
-    for _ in range(64):
+    while True:
         around = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
         lower = label.join(around, "u").select("u", F.least("c", "m").alias("m"), "c")
         hop = lower.select(F.col("u").alias("m"), F.col("m").alias("t"))
@@ -353,5 +367,3 @@ def components(edges: DataFrame) -> DataFrame:
         if not after.filter("moved").limit(1).count():
             break
     return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
-
-

@@ -51,22 +51,39 @@ def test_classes(spark):
     assert got == {"a": ("a", 1, 1), "b": ("a", 2, 1), "c": ("a", 1, 1), "d": ("d", 0, 2), "e": ("d", 0, 2)}
 
 
-def test_tree_finds_what_comparing_all_finds():
+def test_trees_find_what_comparing_all_finds():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     f = np.repeat(base, 20)
     for _ in range(4):
         f = np.where(rng.random(len(f)) < 0.7, f ^ (np.uint64(1) << rng.integers(0, 64, len(f)).astype(np.uint64)), f)
-    zero, n = np.zeros(len(f), dtype=np.uint64), rng.integers(9, 12, len(f))
+    zero, n = np.zeros(len(f), dtype=np.uint64), rng.choice([9, 10, 11, 40, 4094], len(f))
 
     def pairs(s):
         return {(min(a, b), max(a, b)) for x, y in zip(s.left, s.right) for a, b in zip(x.tolist(), y.tolist())}
 
-    tree, every = nd._Shard(f, zero, zero, n, 0.7), nd._Shard(f, zero, zero, n, 0.7)
-    tree.tree(np.arange(len(f)))
-    i, j = np.triu_indices(len(f), 1)
-    every.near(i, j)
-    assert pairs(tree) == pairs(every) and pairs(every)
+    for shard in (np.zeros(len(f), np.int64), np.arange(len(f)) // 37, np.arange(len(f)) // 2):
+        trees, every = nd._Forest(f, zero, zero, n, 0.7), nd._Forest(f, zero, zero, n, 0.7)
+        trees.search(shard)
+        i, j = np.triu_indices(len(f), 1)
+        every.near(*(x[shard[i] == shard[j]] for x in (i, j)))
+        assert pairs(trees) == pairs(every) and trees.compared <= every.compared
+        assert pairs(every) or len(set(shard)) > 100
+
+
+def test_sizes_are_told_within_their_bounds():
+    n = np.array([1, 2047, 2048, 2049, 4095, 5000, 99_999, 524_287, 600_000])
+    code = nd._size_code(n)
+    assert (nd._LOW[code] <= n).all() and (nd._HIGH[code] >= n).all() and code.max() < 4096
+    assert (nd._HIGH[code][:-2] <= 1.01 * n[:-2] + 1).all()
+
+
+def test_very_long_texts_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(nd, "COPIES", 4)
+    long = [f"v{k}" for k in range(6000)]
+    texts = [("a", " ".join(long)), ("b", " ".join(long[:4300])), ("c", " ".join(long[1000:]))] + [(f"k{k:02d}", "same few words") for k in range(13)]
+    got = {tuple(r) for r in nd.near_pairs(spark.createDataFrame(texts, "id string, text string")).collect()}
+    assert got == brute(texts) and ("a", "b") in got and ("k00", "k12") in got
 
 
 def test_components_and_empty(spark):
