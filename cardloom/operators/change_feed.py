@@ -11,12 +11,14 @@ not yet reached wait and are considered again with the next batch; the result do
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.operators.skew import hot_keys, lookup
-from cardloom.session import scratch_path, written
-from cardloom.sources.delete_vectors import DeleteVectorTable
+from cardloom.session import delete_path, scratch_path, written
+from cardloom.sources.delete_vectors import COMPACT_AT, DeleteVectorTable, RevisionConflict
 
 BLOCK = 256
 OPS = ("add", "update", "supersede", "archive", "delete", "promote")
@@ -93,17 +95,18 @@ def _steps(best: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def _reached(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """The records (record_) that a path of `edges` (from_, to_) joins to one of `roots`: chains are halved in every round."""
+    """The records (record_) that a path of `edges` (from_, to_) joins to one of `roots`. Chains are halved in every round; the round that reaches
+    nothing new is the last, for then no edge leads on from what is reached."""
     live = written(edges.join(roots.select(F.col("record_").alias("from_")), "from_", "left_semi").select(F.col("to_").alias("record_")).distinct(), "reached")
     rest = edges.join(roots.select(F.col("record_").alias("from_")), "from_", "left_anti").join(live.select(F.col("record_").alias("to_")), "to_", "left_anti")
     rest = written(rest.distinct(), "waiting")
-    total, spans = rest.count(), 1
-    while total and spans <= 2 * total:
-        more = rest.join(live.select(F.col("record_").alias("from_")), "from_", "left_semi").select(F.col("to_").alias("record_"))
-        live = written(live.unionAll(more).distinct(), "reached")
+    while not rest.isEmpty():
+        more = written(rest.join(live.select(F.col("record_").alias("from_")), "from_", "left_semi").select(F.col("to_").alias("record_")).distinct(), "more")
+        if more.isEmpty():
+            break
+        live = written(live.unionAll(more), "reached")
         rest = rest.join(live.select(F.col("record_").alias("to_")), "to_", "left_anti")
         rest = written(_jump(rest, live).distinct(), "waiting")
-        total, spans = rest.count(), spans * 2
     return live
 
 
@@ -138,23 +141,31 @@ class RecordTable:
             {"record_": "record_id", "revision_": "revision", "key_": "idempotency_key", "written_at_": "updated_at"}
         )
 
-    def apply(self, feed: DataFrame) -> int:
-        """Apply one batch (columns of the feed; any others are ignored); returns the new version. A repeated batch changes nothing."""
-        base = self.images.manifest()
-        payload = ["feed_seq", "key_", "op_", "record_", "revision_", "tenant", "owner", "mount", "card", "changes", "to_mount", "reason", "written_at"]
-        first = tidy(feed).groupBy("key_").agg(F.min_by(F.struct(*payload), "feed_seq").alias("row_")).select("row_.*")
+    def apply(self, feed: DataFrame, note: dict | None = None, base: dict | None = None) -> int:
+        """Apply one batch (columns of the feed; any others are ignored); returns the new version. A repeated batch changes nothing.
+
+        Of two writers on one version the second fails with RevisionConflict and leaves nothing behind that is read: every file has a name
+        of its own, and counts only once the manifest names it. `base` is the manifest that the batch was judged on (the newest, if none is
+        given); `note` is kept in the new one. All decisions are made on narrow rows; a change's card and fields are fetched once it counts.
+        """
+        base = base or self.images.manifest()
+        narrow = tidy(feed).select("feed_seq", "key_", "op_", "record_", "revision_", F.when(F.col("op_") == "supersede", F.col("card.id")).alias("new_"))
+        first = narrow.groupBy("key_").agg(F.min_by(F.struct("feed_seq", "op_", "record_", "revision_", "new_"), "feed_seq").alias("row_")).select("key_", "row_.*")
         seen = self._parts(base["extra"], "receipts")
         if seen is not None:
             first = first.join(seen, "key_", "left_anti")
-        first = written(first, "first")
-        tag = f"{base['version'] + 1:012d}"
+        tag = f"{base['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
         receipts = f"{self.path}/receipts/{tag}"
-        first.select("key_").write.mode("overwrite").parquet(receipts)
+        first.write.parquet(receipts)
+        first = self.spark.read.schema(first.schema).parquet(receipts)
+        payload = ["feed_seq", "key_", "op_", "tenant", "owner", "mount", "card", "changes", "to_mount", "reason", "written_at"]
+        said = tidy(feed).select(*payload, "record_", "revision_")
         waiting = self._parts(base["extra"], "waiting")
-        considered = first.filter(F.col("op_").isin(*OPS) & F.col("record_").isNotNull() & F.col("revision_").isNotNull())
+        small = first.filter(F.col("op_").isin(*OPS) & F.col("record_").isNotNull() & F.col("revision_").isNotNull()).drop("key_")
         if waiting is not None:
-            considered = considered.unionByName(waiting)
-        small = considered.select("feed_seq", "op_", "record_", "revision_", F.when(F.col("op_") == "supersede", F.col("card.id")).alias("new_"))
+            waiting = waiting.select(*payload, "record_", "revision_")
+            said = said.unionByName(waiting)
+            small = small.unionByName(waiting.select("feed_seq", "op_", "record_", "revision_", F.when(F.col("op_") == "supersede", F.col("card.id")).alias("new_")))
 
         # Where the records stand: from the index alone.
         touched = small.select("record_").unionAll(small.select(F.col("new_").alias("record_")).filter("record_ is not null")).distinct()
@@ -189,7 +200,7 @@ class RecordTable:
         orphan = best.filter("startable_ and add_ is null").select("record_").distinct()
         dependent = links.join(orphan.select(F.col("record_").alias("to_")), "to_", "left_semi")
         reached = _reached(own, dependent.select("from_", "to_"))
-        there = written(own.unionAll(reached).distinct(), "there")
+        there = own.unionAll(reached).distinct()
 
         counted = taken.join(there, "record_", "left_semi")
         begun = links.join(there.select(F.col("record_").alias("from_")), "from_", "left_semi")
@@ -204,18 +215,41 @@ class RecordTable:
             (F.col("state_") == _ABSENT).alias("fresh_"),
         )
         counted = written(counted, "counted")
-        changes = counted.join(considered.drop("record_", "revision_"), "feed_seq")
+        tips = counted.groupBy("record_").agg(F.max("new_revision_").alias("reached_"))
+        left = small.join(counted.filter(~F.col("starts_")).select("feed_seq"), "feed_seq", "left_anti")
+        left = left.join(tips, "record_", "left").join(now, "record_", "left")
+        left = left.filter(F.col("revision_") >= F.coalesce("reached_", "from_", F.lit(0).cast("long")))
+
+        # The wide rows move once: those that count and those that wait. A supersede of a waiting chain may do both.
+        at = F.struct("record_", "new_revision_", "fresh_")
+        wanted = counted.select("feed_seq", at.alias("at_")).unionByName(left.select("feed_seq", F.lit(None).cast(counted.select(at.alias("a")).schema[0].dataType).alias("at_")))
+        chosen = said.join(wanted.hint("shuffle_hash"), "feed_seq").withColumn("waits_", F.col("at_").isNull())
+        place = f"{self.path}/waiting/{tag}"
+        chosen.write.partitionBy("waits_").parquet(place)
+        chosen = self.spark.read.schema(chosen.schema).parquet(place)
+        changes = chosen.filter("not waits_").drop("record_", "revision_", "waits_").select("*", "at_.*").drop("at_")
         images = self._fold(changes, current, base)
-        old = current.join(images.select("record_"), "record_", "left_semi").select("file_", "pos_")
-        images = written(images, "images")
-        reached_revision = images.select("record_", F.col("revision_").alias("reached_"))
-        left = considered.join(counted.filter(~F.col("starts_")).select("feed_seq"), "feed_seq", "left_anti")
-        left = left.join(reached_revision, "record_", "left").join(now, "record_", "left")
-        left = left.filter(F.col("revision_") >= F.coalesce("reached_", "from_", F.lit(0).cast("long"))).drop("reached_", "from_", "exists_")
-        waits = f"{self.path}/waiting/{tag}"
-        left.write.mode("overwrite").parquet(waits)
-        extra = {"receipts": [*base["extra"].get("receipts", []), receipts], "waiting": [waits]}
-        return self.images.commit(images, old, base, extra)
+        old = current.join(counted.select("record_"), "record_", "left_semi").select("file_", "pos_")
+        waits = [f"{place}/waits_=true"] if self._exists(f"{place}/waits_=true") else []
+        extra = {**base["extra"], "receipts": [*base["extra"].get("receipts", []), receipts], "waiting": waits, **(note or {})}
+        version = self.images.commit(images, old, base, extra)
+        delete_path(self.spark, f"{place}/waits_=false")
+        return self._compact(version)
+
+    def _exists(self, path: str) -> bool:
+        return self.images._fs.exists(self.images._at(path))
+
+    def _compact(self, version: int) -> int:
+        """Merge what grows with the number of batches: receipts, index and bitmaps."""
+        extra = self.images.manifest(version)["extra"]
+        if len(extra["receipts"]) < COMPACT_AT:
+            return version
+        merged = f"{self.path}/receipts/{version:012d}-{uuid.uuid4().hex[:8]}"
+        self._parts(extra, "receipts").select("key_").write.parquet(merged)
+        try:
+            return self.images.compact({**extra, "receipts": [merged]})
+        except RevisionConflict:  # another writer went on: it or its successor merges
+            return version
 
     def _fold(self, changes: DataFrame, current: DataFrame, base: dict) -> DataFrame:
         """One new image per changed record: the last value set of each field, else that of the old image."""
