@@ -1,4 +1,4 @@
-"""Written timestamps to instants, in JVM expressions but for the order of cards (`iso_instant`).
+"""Written timestamps to instants, in JVM expressions.
 
 A value is first rewritten to one canonical string by the first format whose pattern it matches; that string is split once
 into its parts. Nothing is guessed: a value of no known form, or of an impossible date, is neither an instant nor a date.
@@ -7,10 +7,8 @@ into its parts. Nothing is guessed: a value of no known form, or of an impossibl
 from __future__ import annotations
 
 import zoneinfo
-from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,24 +150,22 @@ def parse(values: DataFrame) -> DataFrame:
     return df.select("raw_", "zone_", "month_first_", instant.alias("instant_"), date.alias("date_"))
 
 
-_START = datetime(1970, 1, 1, tzinfo=timezone.utc)
-
-
-def iso_micros(value: str | None) -> int | None:
-    """Microseconds since 1970 of an ISO date or time, UTC where it has no zone; None for any other value, or one outside years 1 to 9999."""
-    value = (value or "").strip()
-    try:
-        at = datetime.fromisoformat(value[:-1] + "+00:00" if value.endswith("Z") else value)
-        at = at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
-    except (ValueError, OverflowError):
-        return None
-    return (at - _START) // timedelta(microseconds=1)
+#: Microseconds from 1970 back to year 1: no instant is earlier.
+_YEAR_ONE = -62_135_596_800_000_000
+#: ISO forms: date, or date and clock time with or without seconds, fraction and offset; with or without the signs between.
+_ISO = r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:[Tt ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?(Z|[+\-]\d{2}(?::?\d{2})?)?)?$"
 
 
 def iso_instant(value: Column) -> Column:
-    """iso_micros as a timestamp: what cards are ordered by. Read in Python, whose ISO forms these are."""
-
-    def run(values: pa.Array) -> pa.Array:
-        return pa.array(map(iso_micros, values.to_pylist()), pa.int64())
-
-    return F.timestamp_micros(F.arrow_udf(run, "bigint")(value))
+    """The instant of an ISO date or time, UTC where it has no zone, blanks around it aside; null for any other value. What cards are
+    ordered by: a bare date counts from its midnight."""
+    s = _strip(value)
+    parts = F.split(F.when(s.rlike(_ISO), F.regexp_replace(s, _ISO, "$1|$3|$4|$5|$6|$7|$8|$9")), r"\|")
+    at = lambda k: F.coalesce(_number(F.get(parts, F.lit(k))), F.lit(0))
+    micros = F.rpad(F.coalesce(F.get(parts, F.lit(6)), F.lit("")), 6, "0").try_cast("long")
+    zone = F.regexp_replace(F.coalesce(F.get(parts, F.lit(7)), F.lit("")), "[:Z]", "")
+    minutes = F.coalesce(_number(F.substring(zone, 2, 2)), F.lit(0)) * 60 + F.coalesce(_number(F.substring(zone, 4, 2)), F.lit(0))
+    shift = F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes).cast("long") * 60_000_000
+    wall = F.try_make_timestamp(F.when(at(0) > 0, at(0)), at(1), at(2), at(3), at(4), F.when(at(5) < 60, at(5)).cast("decimal(16,6)"), F.lit("UTC"))
+    instant = F.unix_micros(wall) + micros - shift
+    return F.when(parts.isNotNull() & (minutes < 24 * 60) & (instant >= _YEAR_ONE), F.timestamp_micros(instant))

@@ -37,12 +37,17 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumns({"text": text, "occurred_ts": timeparse.iso_instant(F.col("occurred_at")), "created_ts": F.col("updated_at")})
 
 
-_CARDS = r"""c AS (SELECT DISTINCT ON (id) * FROM cards),
+_CARDS = r"""c0 AS (SELECT DISTINCT ON (id) * FROM cards),
+c1 AS (SELECT *, regexp_replace(trim(occurred_at), '^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2})(\d{2})', '\1-\2-\3T\4:\5:\6') AS iso FROM c0),
+c2 AS (SELECT *, CASE WHEN regexp_full_match(iso, '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?') THEN regexp_extract(iso,
+  '^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(?::(\d{2}(?:[.,]\d+)?))?(Z|[+-]\d{2}:?\d{2})?)?$', ['d', 'hm', 's', 'z']) END AS i FROM c1),
+c AS (SELECT * EXCLUDE (iso, i), try_cast(i.d || ' ' || coalesce(nullif(i.hm, ''), '00:00') || ':' || coalesce(nullif(replace(i.s, ',', '.'), ''), '00') AS TIMESTAMP)
+  - (CASE WHEN i.z IN ('', 'Z') THEN 0 WHEN i.z[1] = '-' THEN -1 ELSE 1 END) * coalesce(try_cast(substr(i.z, 2, 2) AS BIGINT) * 60 + try_cast(right(i.z, 2) AS BIGINT), 0) * INTERVAL 1 MINUTE AS occurred_ts FROM c2),
 k AS (SELECT *, CASE WHEN lower(trim(coalesce(status, ''))) = 'deleted' THEN 'deleted'
     WHEN lower(trim(coalesce(status, ''))) = 'superseded' OR trim(coalesce(superseded_by, '')) <> '' THEN 'superseded'
     WHEN lower(trim(coalesce(status, ''))) = 'archived' OR coalesce(archived, false) THEN 'archived'
     WHEN lower(trim(coalesce(status, ''))) IN ('', 'active') THEN 'active' ELSE 'unknown' END AS state,
-  CASE WHEN regexp_matches(occurred_at, '^\d{4}-\d{2}-\d{2}') THEN substr(occurred_at, 1, 10) END AS occurred_ts, updated_at AS created_ts,
+  updated_at AS created_ts,
   array_to_string(list_distinct_keep(list_filter(list_concat([coalesce(summary, ''), coalesce(content, ''), coalesce(bucket, '')],
     coalesce(threads, []), coalesce(retrieval_cues, [])), lambda x: x <> '')), chr(10)) AS text FROM c)"""
 # DuckDB's list_distinct keeps no order; the first occurrence of each is kept by position instead.
@@ -524,7 +529,14 @@ def batch_offsets(spark, sf):
     return budgets.offsets(parts).select("scope", "place", "start", "batch_key")
 
 
-@query(None)
+_CHUNKS = r"""WITH RECURSIVE c AS (SELECT doc_id, coalesce(text, '') AS text, 0::BIGINT AS part, 0::BIGINT AS start, 0::BIGINT AS size FROM documents WHERE coalesce(text, '') <> ''
+  UNION ALL SELECT doc_id, text, part + 1, start + size, CASE WHEN length(text) - start - size <= 6000 OR strpos(reverse(substr(text, start + size + 3001, 3000)), chr(10)) = 0 THEN least(6000, length(text) - start - size)
+    ELSE 6000 - strpos(reverse(substr(text, start + size + 3001, 3000)), chr(10)) + 1 END FROM c WHERE start + size < length(text)),
+p AS (SELECT doc_id, part - 1 AS part, start, substr(text, start + 1, size) AS chunk FROM c WHERE part > 0)
+"""
+
+
+@query(_CHUNKS + "SELECT doc_id, part, start, length(chunk) AS chars, sha256(chunk) AS digest FROM p")
 def chunk_material(spark, sf):
     return budgets.chunks(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "part", "start", F.length("chunk").cast("long").alias("chars"), F.sha2("chunk", 256).alias("digest"))
 
@@ -588,12 +600,14 @@ def blast_fuse(spark, sf):
 
 
 @query(
-    r"""WITH d AS (SELECT DISTINCT ON (feed_seq) * FROM mutations), t AS (SELECT feed_seq AS key, unnest(list_distinct(regexp_extract_all(concat_ws(' ', record_id, array_to_string(target_ids, ' '), card.id, reason), '([A-Za-z0-9_\-]{8,160})', 1))) AS id FROM d),
-i AS (SELECT DISTINCT card.id AS id FROM mutations WHERE card.id IS NOT NULL AND length(card.id) >= 8)
-SELECT key, min(id) AS id FROM t JOIN i USING (id) GROUP BY key"""
+    r"""WITH t AS (SELECT owner, 'cards' AS tab, id AS key, unnest(['summary', 'content']) AS field, unnest([summary, content]) AS text FROM cards
+  UNION ALL SELECT owner, 'mutations', feed_seq::VARCHAR, unnest(['card.summary', 'card.content', 'changes.summary', 'changes.content', 'reason']),
+    unnest([card.summary, card.content, changes['summary'], changes['content'], reason]) FROM mutations),
+i AS (SELECT DISTINCT coalesce(owner, '') AS owner, trim(id) AS id FROM (SELECT owner, id FROM cards UNION ALL SELECT owner, card.id FROM mutations) WHERE length(trim(id)) >= 8)
+SELECT tab, key, field, min(i.id) AS id FROM t JOIN i ON i.owner = coalesce(t.owner, '') AND contains(t.text, i.id) GROUP BY tab, key, field"""
 )
 def id_leak(spark, sf):
-    """(tab, key, field, id) of card texts, stored or in the feed, in which a card id of the same owner stands. The SQL sees less: see README."""
+    """(tab, key, field, id) of card texts, stored or in the feed, in which a card id of the same owner stands."""
     c, m = table(spark, sf, "cards"), table(spark, sf, "mutations")
     fields = lambda **x: F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(v).alias("text")) for k, v in x.items()])).alias("x")
     stored = c.select("owner", F.lit("cards").alias("tab"), F.col("id").alias("key"), fields(summary="summary", content="content"))
@@ -716,7 +730,7 @@ def legacy_relevance(spark, sf):
     return evidence.relevance(asked(spark, sf), active(spark, sf))
 
 
-@query(None)
+@query(_CHUNKS + "SELECT doc_id AS scope, part AS place, start, doc_id || ':b' || start || ':' || substr(sha256(chunk), 1, 16) AS batch_key FROM p WHERE part = 1")
 def import_next_batch(spark, sf):
     plan = importing.plan(table(spark, sf, "documents", "doc_id", "text"))
     done = plan.filter("place = 0").select("batch_key")
