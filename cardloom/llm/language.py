@@ -11,13 +11,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGUAGES = ("de", "en", "es", "fr", "zh")
@@ -28,8 +27,9 @@ TRAIN_ROWS = 300
 TEMPER = 3.0
 #: A line is foreign if it is so much likelier (in log units) in another language than in that of most lines.
 MARGIN = 3.0
-_MAX_PIECE = 16
 _SMOOTH = 4.0
+#: Words up to this length need no scaling: no sum over their segmentations leaves the range of numbers.
+_SHORT = 24
 REMEMBERED = 500_000
 
 #: Names of the languages in labels, besides codes with a region or script.
@@ -73,18 +73,18 @@ def load_pieces(path: str = VOCABULARY) -> frozenset[str]:
     out = set()
     for k in range(sp.get_piece_size()):
         p = sp.id_to_piece(k).lower()
-        if not sp.is_byte(k) and not sp.is_control(k) and not sp.is_unknown(k) and len(p) <= _MAX_PIECE and (p.lstrip("▁").isalpha() or p == "▁") and p.count("▁") <= 1:
+        if not sp.is_byte(k) and not sp.is_control(k) and not sp.is_unknown(k) and (p.lstrip("▁").isalpha() or p == "▁") and p.count("▁") <= 1:
             out.add(p)
     return frozenset(out)
 
 
-def _lattice(unit: str, pieces: frozenset[str]) -> list[tuple[int, int, str]]:
+def _lattice(unit: str, pieces: frozenset[str], longest: int) -> list[tuple[int, int, str]]:
     """Edges (from, to, piece) of all segmentations; a character that is no piece has an edge of its kind."""
     s = _marked(unit)
     edges = []
     for i in range(len(s)):
         single = s[i] in pieces
-        edges += [(i, j, s[i:j]) for j in range(i + 1, min(len(s), i + _MAX_PIECE) + 1) if s[i:j] in pieces]
+        edges += [(i, j, s[i:j]) for j in range(i + 1, min(len(s), i + longest) + 1) if s[i:j] in pieces]
         if not single:
             edges.append((i, i + 1, _unknown(s[i])))
     return edges
@@ -95,6 +95,7 @@ class Model:
 
     def __init__(self, pieces: frozenset[str], table: dict[str, np.ndarray], floor: np.ndarray):
         self.pieces, self.table, self.floor = pieces, table, floor
+        self.longest = max(map(len, pieces), default=1)
         self.index: dict[str, int] = {}
         self.rows = np.empty((1024, len(LANGUAGES)))
 
@@ -105,21 +106,22 @@ class Model:
         self.__init__(state["pieces"], state["table"], state["floor"])
 
     def score(self, unit: str) -> np.ndarray:
-        """log of the summed probability of all segmentations of a unit, by language."""
-        s = _marked(unit[:200])
-        alpha = np.zeros((len(s) + 1, len(LANGUAGES)))
+        """log of the summed probability of all segmentations of a unit of any length, by language."""
+        size = len(_marked(unit))
+        alpha = np.zeros((size + 1, len(LANGUAGES)))
         alpha[0] = 1.0
         scale = np.zeros(len(LANGUAGES))
         done = 0
-        for i, j, piece in _lattice(unit[:200], self.pieces):
-            if i > done and i % 24 == 0:  # long words: keep the numbers in range
-                top = alpha[i].max()
-                if 0 < top < 1e-80:
-                    alpha[i:] /= top
-                    scale += math.log(top)
+        for i, j, piece in _lattice(unit, self.pieces, self.longest):
+            if i > done and i % 24 == 0:  # long words: keep the numbers in range; no edge so far leads further than the longest piece
+                reached = alpha[i : i + self.longest]
+                top = reached.max(axis=0)
+                top = np.where(top > 0, top, 1.0)
+                reached /= top
+                scale += np.log(top)
                 done = i
             alpha[j] += alpha[i] * self.table.get(piece, self.floor)
-        return np.log(np.maximum(alpha[len(s)], 1e-300)) + scale
+        return np.log(np.maximum(alpha[size], 1e-300)) + scale
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihood by text and language, number of units by text)."""
@@ -153,9 +155,42 @@ def posterior(scores: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def _expected(edges: list[tuple[int, int, str]], weight: list[float]) -> list[float]:
+    """The expected number of times each edge is used, over all segmentations; in long words the sums are scaled to stay in range."""
+    size = edges[-1][1]
+    if size <= _SHORT:
+        a, b = [0.0] * (size + 1), [0.0] * (size + 1)
+        a[0] = b[size] = 1.0
+        for (i, j, _), w in zip(edges, weight):
+            a[j] += a[i] * w
+        for k in range(len(edges) - 1, -1, -1):
+            i, j, _ = edges[k]
+            b[i] += weight[k] * b[j]
+        return [a[i] * w * b[j] / a[size] for (i, j, _), w in zip(edges, weight)]
+    a, level = [0.0] * (size + 1), [0.0] * (size + 1)  # a[i] * exp(level[i]) is the sum up to i
+    a[0] = 1.0
+    for (i, j, _), w in zip(edges, weight):
+        if a[i] and (a[i] < 1e-150 or a[i] > 1e150):
+            level[i], a[i] = level[i] + math.log(a[i]), 1.0
+        a[j], level[j] = (a[i] * w, level[i]) if not a[j] else (a[j] + a[i] * w * math.exp(min(700.0, level[i] - level[j])), level[j])
+    b, back = [0.0] * (size + 1), [0.0] * (size + 1)
+    b[size] = 1.0
+    used = [0.0] * len(edges)
+    whole = math.log(a[size]) + level[size] if a[size] > 0 else None
+    for k in range(len(edges) - 1, -1, -1):
+        i, j, _ = edges[k]
+        if b[j] and (b[j] < 1e-150 or b[j] > 1e150):
+            back[j], b[j] = back[j] + math.log(b[j]), 1.0
+        if whole is not None and a[i] and b[j]:
+            used[k] = a[i] * weight[k] * b[j] * math.exp(level[i] + back[j] - whole) if abs(level[i] + back[j] - whole) < 300 else math.exp(math.log(a[i]) + math.log(weight[k]) + math.log(b[j]) + level[i] + back[j] - whole)
+        b[i], back[i] = (weight[k] * b[j], back[j]) if not b[i] else (b[i] + weight[k] * b[j] * math.exp(min(700.0, back[j] - back[i])), back[i])
+    return used
+
+
 def _fit(counts: dict[str, Counter], pieces: frozenset[str], rounds: int = 3) -> Model:
     """Expectation maximisation over all segmentations; every language is smoothed towards the pool of all."""
-    lattices = {u: _lattice(u, pieces) for c in counts.values() for u in c}
+    longest = max(map(len, pieces), default=1)
+    lattices = {u: _lattice(u, pieces, longest) for c in counts.values() for u in c}
     probs: dict[str, dict[str, float]] = {lang: {} for lang in LANGUAGES}
     start = lambda piece: 0.5 ** (8 + 4 / len(piece))
     for _ in range(rounds):
@@ -164,22 +199,8 @@ def _fit(counts: dict[str, Counter], pieces: frozenset[str], rounds: int = 3) ->
             p, e = probs[lang], expected[lang]
             for unit, n in counts[lang].items():
                 edges = lattices[unit]
-                size = edges[-1][1]
-                w = [p.get(x, 1e-7) if p else start(x) for _, _, x in edges]
-                a = [0.0] * (size + 1)
-                a[0] = 1.0
-                for (i, j, _x), v in zip(edges, w):
-                    a[j] += a[i] * v
-                if a[size] <= 0:
-                    continue
-                b = [0.0] * (size + 1)
-                b[size] = 1.0
-                for k in range(len(edges) - 1, -1, -1):
-                    i, j, x = edges[k]
-                    b[i] += w[k] * b[j]
-                z = n / a[size]
-                for (i, j, x), v in zip(edges, w):
-                    e[x] += a[i] * v * b[j] * z
+                for (_, _, x), v in zip(edges, _expected(edges, [p.get(x, 1e-7) if p else start(x) for _, _, x in edges])):
+                    e[x] += v * n
         pool: dict[str, float] = defaultdict(float)
         for e in expected.values():
             size = sum(e.values()) or 1.0
@@ -200,7 +221,7 @@ def train(rows: list[tuple[str, str]], pieces: frozenset[str]) -> Model:
     def counts(rows: list[tuple[str, str]]) -> dict[str, Counter]:
         out = {lang: Counter() for lang in LANGUAGES}
         for lang, text in rows:
-            out[lang].update(u[:60] for u in units(text))
+            out[lang].update(units(text))
         return out
 
     rows = sorted(rows)
@@ -211,11 +232,25 @@ def train(rows: list[tuple[str, str]], pieces: frozenset[str]) -> Model:
 
 
 def model_of(labelled: DataFrame, vocabulary: str = VOCABULARY) -> Model:
-    """The model fitted on at most TRAIN_ROWS rows per language of `labelled` (label, text), the same rows for the same table."""
-    named = labelled.select(label_language(F.col("label")).alias("lang"), "text").filter("lang is not null and length(text) > 20")
-    each = [named.filter(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(TRAIN_ROWS) for lang in LANGUAGES]
-    rows = [(r.lang, r.text) for r in reduce(DataFrame.unionAll, each).collect()]
-    return train(rows, load_pieces(vocabulary))
+    """The model fitted on at most TRAIN_ROWS rows per language of `labelled` (label, text): those of the least hashes among the distinct
+    (language, text), so the same for the same table and for any number of copies of it.
+
+    The labels alone are counted first; that tells how small a hash must be for enough rows to remain, and texts are read for these.
+    """
+    named = labelled.select(label_language(F.col("label")).alias("lang"), "text").filter("lang is not null and text <> ''")
+    many = {r.lang: r.n for r in labelled.select(label_language(F.col("label")).alias("lang")).filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {lang: min(1.0, 4 * TRAIN_ROWS / n) for lang, n in many.items()}
+    rows: dict[str, list[tuple[int, str]]] = {}
+    while share:
+        below = reduce(lambda a, b: a | b, ((F.col("lang") == lang) & (F.col("h") <= int(-(2**63) + v * (2**64 - 1)) if v < 1 else F.col("lang") == lang) for lang, v in share.items()))
+        few = named.withColumn("h", F.xxhash64("text")).filter(below).distinct()
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+        for r in few.withColumn("n", place).filter(F.col("n") <= TRAIN_ROWS).collect():
+            rows.setdefault(r.lang, []).append((r.h, r.text))
+        share = {lang: min(1.0, 8 * v) for lang, v in share.items() if v < 1 and len(rows.get(lang, ())) < TRAIN_ROWS}
+        for lang in share:
+            rows.pop(lang, None)
+    return train([(lang, text) for lang, found in rows.items() for _, text in found], load_pieces(vocabulary))
 
 
 def of_texts(texts: DataFrame, model: Model) -> DataFrame:
@@ -236,48 +271,55 @@ def of_texts(texts: DataFrame, model: Model) -> DataFrame:
 _SPEAKER = re.compile(r"^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s*)?[^:：\n]{1,24}[:：]\s*")
 
 
-def of_windows(windows: DataFrame, model: Model) -> DataFrame:
-    """windows: rec_id, text, label; a text has one turn per line. One row per window (line_no 0: the language of most lines, that of
-    the more text where two have as many) and one per line in another language (line_no from 1), with confidence.
+def turns(text: str) -> list[str]:
+    """The lines of a window, without speaker labels and clock times."""
+    return [_SPEAKER.sub("", line, count=1) for line in text.split("\n")]
+
+
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n")
 
-    Speaker labels and clock times do not count. A line without letters has no language and no vote; a window without any has null.
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a text."""
+    return _SENTENCE.split(text)
+
+
+def of_windows(windows: DataFrame, model: Model, cut: Callable[[str], list[str]] = turns) -> DataFrame:
+    """windows: rec_id, text, label; `cut` makes segments of a text, by default its lines. One row per text (line_no 0: the language of
+    most segments, that of the more text where two have as many) and one per segment in another language (line_no from 1), with confidence.
+
+    A segment without letters has no language and no vote; a text without any has null.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            lines, owner = [], []
-            for k, t in enumerate(pdf["text"]):
-                for n, line in enumerate((t or "").split("\n"), 1):
-                    lines.append(_SPEAKER.sub("", line, count=1))
-                    owner.append((k, n))
-            scores, sizes = model.scores(lines)
-            p = posterior(scores) if len(lines) else scores
-            out = []
-            at = 0
-            for k, (rec, label) in enumerate(zip(pdf["rec_id"], pdf["label"])):
-                first = at
-                while at < len(owner) and owner[at][0] == k:
-                    at += 1
-                here = [x for x in range(first, at) if sizes[x]]
-                if not here:
-                    out.append((rec, label, 0, None, None))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut(t or "") for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, texts)])
+            scores, sizes = model.scores([x for t in texts for x in t])
+            p = posterior(scores) if len(scores) else scores
+            row, number, lang, sure = [], [], [], []
+            for k in range(len(texts)):
+                here = ends[k] + np.flatnonzero(sizes[ends[k] : ends[k + 1]])
+                if not len(here):
+                    row.append(k), number.append(0), lang.append(None), sure.append(None)
                     continue
-                votes = np.bincount([int(scores[x].argmax()) for x in here], minlength=len(LANGUAGES)).astype(float)
-                votes += np.array([sum(sizes[x] for x in here if scores[x].argmax() == lang) for lang in range(len(LANGUAGES))]) / (1 + sizes[here].sum())
+                best = scores[here].argmax(axis=1)
+                votes = np.bincount(best, minlength=len(LANGUAGES)) + np.bincount(best, sizes[here], len(LANGUAGES)) / (1 + sizes[here].sum())
                 main = int(votes.argmax())
-                mine = p[here][:, main]
-                out.append((rec, label, 0, LANGUAGES[main], float(mine.mean())))
-                for x in here:
-                    best = int(scores[x].argmax())
-                    if best != main and scores[x][best] - scores[x][main] > MARGIN:
-                        out.append((rec, label, owner[x][1], LANGUAGES[best], float(p[x][best])))
-            yield pd.DataFrame(out, columns=["rec_id", "label", "line_no", "lang", "confidence"])
+                row.append(k), number.append(0), lang.append(LANGUAGES[main]), sure.append(float(p[here, main].mean()))
+                for x, b in zip(here[(best != main)], best[best != main]):
+                    if scores[x, b] - scores[x, main] > MARGIN:
+                        row.append(k), number.append(int(x - ends[k] + 1)), lang.append(LANGUAGES[b]), sure.append(float(p[x, b]))
+            at = pa.array(row, pa.int64())
+            arrays = [batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int64()), pa.array(lang, pa.string()), pa.array(sure, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rec_id", "label", "line_no", "lang", "confidence"])
 
-    return windows.select("rec_id", "text", "label").mapInPandas(run, "rec_id string, label string, line_no bigint, lang string, confidence double")
+    return windows.select("rec_id", "text", "label").mapInArrow(run, "rec_id string, label string, line_no bigint, lang string, confidence double")
 
 
-def languages(cards: DataFrame, conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(tab, rec_id, line_no, lang, confidence, label): the language of every card and window, and of every foreign line.
+def languages(cards: DataFrame, conversations: DataFrame, vocabulary: str = VOCABULARY, segments: bool = False) -> DataFrame:
+    """(tab, rec_id, line_no, lang, confidence, label): the language of every card and window, and of every foreign line; with `segments`
+    of every foreign sentence of a card too.
 
     A card's language is that of its content, or of its summary where the content has no letters. Rows delivered twice count once.
     """
@@ -287,6 +329,9 @@ def languages(cards: DataFrame, conversations: DataFrame, vocabulary: str = VOCA
     model = model_of(rows.select("label", "text").unionAll(windows.select("label", "text")), vocabulary)
     a = of_texts(rows, model).select(F.lit("cards").alias("tab"), "rec_id", F.lit(0).cast("long").alias("line_no"), "lang", "confidence", "label")
     b = of_windows(windows, model).select(F.lit("conversations").alias("tab"), "rec_id", "line_no", "lang", "confidence", "label")
+    if segments:
+        parts = of_windows(rows, model, sentences).filter("line_no > 0")
+        a = a.unionAll(parts.select(F.lit("cards").alias("tab"), "rec_id", "line_no", "lang", "confidence", "label"))
     return a.unionAll(b)
 
 

@@ -23,12 +23,16 @@ def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Cards and conversations with a missing or wrong label, and foreign lines, with the right language."""
-    return language.wrong_labels(p4_languages(spark, sf))
+    return language.wrong_labels(language.languages(*_labelled(spark, sf)))
+
+
+def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf, "cards", "id", "lang", "summary", "content"), table(spark, sf, "conversations", "cid", "locale", "window")
 
 
 def p4_languages(spark: SparkSession, sf: str) -> DataFrame:
-    """The language of every card, window and foreign line, with confidence."""
-    return language.languages(table(spark, sf, "cards", "id", "lang", "summary", "content"), table(spark, sf, "conversations", "cid", "locale", "window"))
+    """The language of every card, window, foreign line and foreign sentence of a card, with confidence."""
+    return language.languages(*_labelled(spark, sf), segments=True)
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,10 +78,18 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_languages, p5_found, p5_redacted, p7_ids, p8_pack, p8_fill, p9_found, p9_levels)}
-SQL: dict[str, str] = {
-    "p3_found": r"""WITH t AS (SELECT DISTINCT id, concat_ws(' ', summary, content) AS x FROM cards WHERE id IS NOT NULL),
+_SETS = r"""WITH RECURSIVE t AS (SELECT DISTINCT id, concat_ws(' ', summary, content) AS x FROM cards WHERE id IS NOT NULL),
 w AS (SELECT DISTINCT id, unnest(regexp_extract_all(regexp_replace(lower(x), '([㐀-䶿一-鿿])', ' \1 ', 'g'), '([\p{L}\p{N}]+)', 1)) AS word FROM t),
 n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
 s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM s JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE s * 10 >= 7 * (a.n + b.n - s)""",
+"""
+_NEAR = """SELECT id_a, id_b FROM s JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE s * 10 >= 7 * (a.n + b.n - s)"""
+SQL: dict[str, str] = {
+    "p3_found": _SETS + _NEAR,
+    "p3_classes": _SETS
+    + f""", near AS ({_NEAR}), sets AS (SELECT id, list_sort(list(word)) AS ws FROM w GROUP BY id),
+rep AS (SELECT ws, min(id) AS rep, count(*) AS n_copies FROM sets GROUP BY ws), m AS (SELECT id, rep, n_copies FROM sets JOIN rep USING (ws)),
+e AS (SELECT DISTINCT a.rep AS u, b.rep AS v FROM near JOIN m a ON a.id = id_a JOIN m b ON b.id = id_b WHERE a.rep <> b.rep), both_ AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT DISTINCT rep AS u, rep AS v FROM m UNION SELECT r.u, both_.v FROM r JOIN both_ ON both_.u = r.v)
+SELECT m.id, (SELECT min(v) FROM r WHERE r.u = m.rep) AS class_id, (SELECT count(*) FROM both_ WHERE both_.u = m.rep) AS n_links, n_copies FROM m""",
 }

@@ -34,6 +34,43 @@ def test_score_sums_all_segmentations(model):
         assert np.allclose(model.score(word), np.log(brute(lg._marked(word)))), word
 
 
+def test_long_words_are_scored_and_learned_whole(model):
+    for word in ("häuser" * 60, "q" * 3000):  # beyond any bound of a piece or of the range of numbers
+        edges = lg._lattice(word, model.pieces, model.longest)
+        used = lg._expected(edges, [1e-4] * len(edges))
+        assert math.isclose(sum(v * (j - i) for v, (i, j, _) in zip(used, edges)), len(lg._marked(word)), rel_tol=1e-6)
+    assert np.isfinite(model.score("q" * 3000)).all()
+    short, long = model.score("schlüssel"), model.score("schlüssel" * 40)
+    assert long.argmax() == short.argmax() and (long < short).all()
+    assert not np.allclose(model.score("a" * 250), model.score("a" * 250 + "schlüsselhaus"))
+    plain = lambda u: lg._expected(lg._lattice(u, model.pieces, model.longest), [0.01] * len(lg._lattice(u, model.pieces, model.longest)))
+    at = lg._SHORT
+    lg._SHORT = 0
+    try:
+        scaled = plain("schlüssel")
+    finally:
+        lg._SHORT = at
+    assert np.allclose(plain("schlüssel"), scaled)
+
+
+def test_sample_is_that_of_the_least_hashes_for_any_number_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(lg, "TRAIN_ROWS", 5)
+    seen = []
+    monkeypatch.setattr(lg, "train", lambda rows, pieces: seen.append(sorted(rows)))
+    rows = spark.createDataFrame([(lang, f"{TEXTS[lang]} {k}") for k in range(300) for lang in ("en", "de")] + [("fr", "oui"), (None, "x"), ("nl", "y"), ("es", None)], "label string, text string")
+    lg.model_of(rows)
+    lg.model_of(rows.unionAll(rows).unionAll(rows.unionAll(rows)).unionAll(rows))
+    named = rows.filter("label in ('en', 'de')").withColumn("h", lg.F.xxhash64("text"))
+    least = [(r.label, r.text) for lang in ("en", "de") for r in named.filter(lg.F.col("label") == lang).orderBy("h").limit(5).collect()]
+    assert seen[0] == seen[1] == sorted([*least, ("fr", "oui")])
+
+
+def test_sentences_of_cards(model, spark):
+    cards = spark.createDataFrame([("a", "en", "s", TEXTS["en"] + ". " + TEXTS["de"] + "! " + TEXTS["en"])], "id string, lang string, summary string, content string")
+    found = lg.of_windows(cards.selectExpr("id rec_id", "content text", "lang label"), model, lg.sentences).filter("line_no > 0").collect()
+    assert [(r.line_no, r.lang) for r in found] == [(2, "de")]
+
+
 def test_languages_and_labels(model, spark):
     rows = [(k, v, k) for k, v in TEXTS.items()] + [("none", None, "en"), ("blank", " 12 !", "en"), ("long", TEXTS["fr"] * 400, "fr"), ("upper", TEXTS["es"].upper(), "es")]
     df = spark.createDataFrame(rows + rows[:1], "rec_id string, text string, label string")
