@@ -16,7 +16,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.operators.skew import hot_keys, lookup
 from cardloom.session import delete_path, scratch_path, written
 from cardloom.sources.delete_vectors import COMPACT_AT, DeleteVectorTable, RevisionConflict
 
@@ -184,8 +183,8 @@ class RecordTable:
         offers = small.filter("new_ is not null").select(F.col("new_").alias("record_")).distinct()
         offers = offers.join(now, "record_", "left_anti").withColumns({"startable_": F.lit(True), "revision_": F.lit(0).cast("long")})
         best = best.join(offers, ["record_", "revision_"], "full").withColumn("startable_", F.coalesce("startable_", F.lit(False)))
-        counts = best.groupBy("record_").agg(F.count("*").alias("n"))
-        best = lookup(best, now, ["record_"], hot_keys(counts, ["record_"]))
+        # A record with many changes is many rows on the left, one on the right: adaptive execution splits such a partition of the join.
+        best = best.join(now, "record_", "left")
         best = best.withColumns({"from_": F.coalesce("from_", F.lit(0).cast("long")), "exists_": F.coalesce("exists_", F.lit(False))})
         best = best.withColumns({"at_": F.col("revision_") - F.col("from_"), "removes_": F.coalesce(F.col("other_.op_") == "delete", F.lit(False))}).filter("at_ >= 0")
         best = written(best, "best")
@@ -257,30 +256,30 @@ class RecordTable:
         text = lambda k: F.col("card")[k]
         has = lambda k: (op == "update") & F.coalesce(F.map_contains_key("changes", F.lit(k)), F.lit(False))
         changed = lambda k: F.try_element_at("changes", F.lit(k))
-        none = F.lit(None).cast("string")
-        sets: dict[str, tuple[Column, Column]] = {
-            "tenant": (fresh, F.col("tenant")),
-            "owner": (fresh, F.col("owner")),
-            "mount": (fresh | (op == "promote"), F.when(fresh, F.col("mount")).otherwise(F.col("to_mount"))),
-            "importance": (fresh | has("importance"), F.when(fresh, text("importance")).otherwise(changed("importance").try_cast("double"))),
-            "source": (fresh, text("source")),
-            "archived": (fresh | op.isin("archive", "supersede"), ~fresh),
-            "archive_reason": (fresh | op.isin("archive", "supersede"), F.when(fresh, none).otherwise(F.col("reason"))),
-            "superseded_by": (fresh | (op == "supersede"), F.when(fresh, none).otherwise(text("id"))),
-            **{k: (fresh | has(k), F.when(fresh, text(k)).otherwise(changed(k))) for k in ("summary", "content", "bucket")},
-        }
-        last = [F.max_by(F.when(when, F.struct(value.alias("v"))), F.when(when, F.col("new_revision_"))).alias(k) for k, (when, value) in sets.items()]
-        tip = F.max_by(F.struct(F.col("key_"), "written_at", (~fresh & (op == "delete")).alias("deleted_")), "new_revision_").alias("tip_")
-        folded = changes.groupBy("record_").agg(F.max("new_revision_").alias("revision_"), tip, *last)
+        retired = fresh | op.isin("archive", "supersede")
+        sets: list[tuple[Column, dict[str, Column]]] = [  # fields that are set together, and when
+            (fresh, {"tenant": F.col("tenant"), "owner": F.col("owner"), "source": text("source")}),
+            (fresh | (op == "promote"), {"mount": F.when(fresh, F.col("mount")).otherwise(F.col("to_mount"))}),
+            (fresh | has("importance"), {"importance": F.when(fresh, text("importance")).otherwise(changed("importance").try_cast("double"))}),
+            (retired, {"archived": ~fresh, "archive_reason": F.when(~fresh, F.col("reason"))}),
+            (fresh | (op == "supersede"), {"superseded_by": F.when(~fresh, text("id"))}),
+            *((fresh | has(k), {k: F.when(fresh, text(k)).otherwise(changed(k))}) for k in ("summary", "content", "bucket")),
+        ]
+        place = {k: f"set{n}" for n, (_, values) in enumerate(sets) for k in values}
+        last = [
+            F.max_by(F.when(when, F.struct(*[v.alias(k) for k, v in values.items()])), F.when(when, F.col("new_revision_"))).alias(f"set{n}") for n, (when, values) in enumerate(sets)
+        ]
+        tip = F.max_by(F.struct(F.col("new_revision_").alias("revision_"), "key_", "written_at", (~fresh & (op == "delete")).alias("deleted_")), "new_revision_").alias("tip_")
+        folded = changes.groupBy("record_").agg(tip, *last)
         if base["data"]:
             places = current.join(folded.select("record_"), "record_", "left_semi")
             old = self.images.images_at(places, base).select("record_", F.struct(*_FIELDS).alias("old_"))
             folded = folded.join(old, "record_", "left")
-            pick = {k: F.when(F.col(k).isNotNull(), F.col(f"{k}.v")).otherwise(F.col(f"old_.{k}")) for k in _FIELDS}
+            pick = {k: F.when(F.col(place[k]).isNotNull(), F.col(place[k])[k]).otherwise(F.col(f"old_.{k}")) for k in _FIELDS}
         else:
-            pick = {k: F.col(f"{k}.v") for k in _FIELDS}
+            pick = {k: F.col(place[k])[k] for k in _FIELDS}
         return folded.select(
-            "record_", *[c.alias(k) for k, c in pick.items()], "revision_", F.col("tip_.key_").alias("key_"), F.col("tip_.written_at").alias("written_at_"), F.col("tip_.deleted_").alias("deleted_")
+            "record_", *[c.alias(k) for k, c in pick.items()], F.col("tip_.revision_").alias("revision_"), F.col("tip_.key_").alias("key_"), F.col("tip_.written_at").alias("written_at_"), F.col("tip_.deleted_").alias("deleted_")
         )
 
 

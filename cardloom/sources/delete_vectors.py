@@ -140,13 +140,11 @@ class DeleteVectorTable:
             if old is not None:
                 each = old.join(touched, ["file_", "chunk_"], "left_semi").select("file_", "chunk_", F.posexplode("words_").alias("at_", "bits_"))
                 words.append(each.filter(F.col("bits_") != 0).select("file_", (F.col("chunk_") * _WORDS + F.col("at_")).alias("word_"), "bits_"))
+            blank = touched.select("file_", F.explode(F.sequence(F.lit(0), F.lit(_WORDS - 1))).alias("at_"), "chunk_")
+            words.append(blank.select("file_", (F.col("chunk_") * _WORDS + F.col("at_")).alias("word_"), F.lit(0).cast("long")))
             merged = reduce(DataFrame.unionAll, words).groupBy("file_", "word_").agg(F.bit_or("bits_").alias("bits_"))
-            chunk = F.shiftright("word_", 10)
-            packed = merged.groupBy("file_", chunk.alias("chunk_")).agg(
-                F.map_from_entries(F.collect_list(F.struct(F.col("word_").bitwiseAND(_WORDS - 1).cast("int"), "bits_"))).alias("map_")
-            )
-            filled = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("map_", i), F.lit(0).cast("long")))
-            packed.select("file_", "chunk_", filled.alias("words_"), F.lit(version).cast("long").alias("version_")).write.parquet(f"{self.path}/vectors/{tag}")
+            packed = merged.groupBy("file_", F.shiftright("word_", 10).alias("chunk_")).agg(F.array_sort(F.collect_list(F.struct("word_", "bits_"))).alias("words_"))
+            packed.select("file_", "chunk_", F.transform("words_", lambda w: w["bits_"]).alias("words_"), F.lit(version).cast("long").alias("version_")).write.parquet(f"{self.path}/vectors/{tag}")
             manifest["vectors"] = [*base["vectors"], f"vectors/{tag}"]
         self._publish(manifest)
         return version

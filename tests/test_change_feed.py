@@ -127,3 +127,48 @@ def test_delete_vectors_and_conflicts(spark, tmp_path):
     assert t.live(1).filter("rev = 0").count() == 200_000  # an older version reads as it was
     with pytest.raises(RevisionConflict):
         t.commit(keys.selectExpr("id", "cast(9 as bigint) rev"), None, base)
+
+
+def test_rival_predecessors_are_followed_to_the_end(spark):
+    rows = [row(1, "add", "s0")]
+    seq = 2
+    for k in range(9):  # each record is offered by two others, and each of those by two, so that no chain can be halved
+        for side in ("a", "b"):
+            frm = "s0" if k == 0 else f"{side}{k - 1}"
+            for to in ("a", "b"):
+                rows.append(row(seq, "supersede", frm, "1" if k == 0 or to == "a" else "2", key=f"k{seq}", new=f"{to}{k}"))
+                seq += 1
+    df = spark.createDataFrame(rows[::-1], SCHEMA)
+    assert current(cf.replay(df, 1)) == brute(rows)
+
+
+def test_the_second_of_two_racing_writers_leaves_nothing_behind(spark, tmp_path):
+    table = lambda: cf.RecordTable(spark, str(tmp_path / "t"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    table().apply(frame(row(1, "add", "a", key="start")))
+    base = table().images.manifest()
+    table().apply(frame(row(2, "update", "a", "1", key="winner", changes={"summary": "won"})))
+    with pytest.raises(RevisionConflict):
+        table().apply(frame(row(3, "update", "a", "1", key="loser", changes={"summary": "lost"})), base=base)
+    assert current(table()) == {"a": (2, "winner")}
+    table().apply(frame(row(2, "update", "a", "1", key="winner", changes={"summary": "again"}), row(4, "update", "a", "2", key="loser", changes={"summary": "later"})))
+    assert current(table()) == {"a": (3, "loser")} and table().records().first().summary == "later"
+
+
+def test_compaction_changes_nothing_that_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cf, "COMPACT_AT", 3)
+    from cardloom.sources import delete_vectors
+
+    monkeypatch.setattr(delete_vectors.DeleteVectorTable.compact, "__defaults__", (None, 3))
+    table = cf.RecordTable(spark, str(tmp_path / "t"))
+    rows = []
+    for k in range(5):
+        batch = [row(2 * k + 1, "add", f"r{k}"), row(2 * k + 2, "update", "r0", str(k + 1), changes={"summary": f"s{k}"})]
+        rows += batch
+        table.apply(spark.createDataFrame(batch, SCHEMA))
+    manifest = table.images.manifest()
+    assert len(manifest["index"]) < 4 and len(manifest["extra"]["receipts"]) < 4 and manifest["version"] > 5
+    assert current(table) == brute(rows)
+    assert {r.record_: r.revision_ for r in table.images.lookup(["r0", "r4", "nowhere"]).collect()} == {"r0": 6, "r4": 1}
+    table.apply(spark.createDataFrame(rows, SCHEMA))
+    assert current(table) == brute(rows)
