@@ -1,62 +1,57 @@
-"""The full tokenizer, for parity beyond what SQL patterns can express: NFC, case folding, identifiers, combining marks, Chinese pairs."""
+"""The default tokenizer of retrieval: NFC, case folding, identifiers whole, accented words whole, Chinese characters and pairs.
+
+Texts whose letters are ASCII, accented Latin or CJK in composed form, as nearly all are, are cut by JVM patterns; only others (combining
+marks, other scripts, letters whose folding is not their lower case) pass through Python, in Arrow batches.
+"""
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Scripts written without blanks, and particles that form no pair with a neighbour.
+#: Scripts written without blanks, Latin letters beyond ASCII, and particles that form no pair with a neighbour.
 CJK = "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
-PARTICLES = frozenset("的了着吗呢吧啊呀嘛么")
-_LATIN = "a-z0-9À-ÖØ-öø-ɏḀ-ỿⱠ-Ɀ꜠-ꟿꬰ-꭯"
+LATIN = "À-ÖØ-öø-ɏḀ-ỿⱠ-Ɀ꜠-ꟿꬰ-꭯"
+PARTICLES = "的了着吗呢吧啊呀嘛么"
+#: Letters that the JVM patterns may meet: composed, and folded by lower case alone.
+_PLAIN = "a-zA-ZÀ-ÖØ-Þà-öø-įĲ-ňŊ-žƀ-ƺḀ-ẕẠ-ỿ0-9㐀-䶿一-鿿"
 
 
 @lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    marks = "".join(re.escape(chr(k)) for k in range(0x300, 0x20000) if unicodedata.category(chr(k))[0] == "M")
-    letter = rf"[^\W_{CJK}]"
-    word = rf"{letter}(?:{letter}|[{marks}])*"
-    tokens = re.compile(rf"([{CJK}]+)|({word}(?:[-_./]{word})*)")
-    return tokens, re.compile(r"([-_./])"), re.compile(rf"(?:[{_LATIN}][{marks}]*)+|(?:[^{_LATIN}][{marks}]*)+")
-
-
-def _join_ascii(run: str) -> list[str]:
-    """A word with signs inside: whole if ASCII; else accented words whole, and neighbouring ASCII parts joined to one identifier."""
-    if run.isascii():
-        return [run]
-    _, sign, script = _patterns()
-    out: list[str] = []
-    between = ""
-    for part in sign.split(run):
-        if part in ("-", "_", ".", "/"):
-            between = part
-            continue
-        pieces = [m.group() for m in script.finditer(part)]
-        if pieces and between and out and out[-1].isascii() and pieces[0].isascii():
-            out[-1] += between + pieces.pop(0)
-        out += pieces
-        between = ""
-    return out
+def _marks() -> str:
+    """All combining marks, as ranges of a character class."""
+    points = [k for k in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(k))[0] == "M"]
+    starts = [k for k in points if unicodedata.category(chr(k - 1))[0] != "M"]
+    ends = [k for k in points if unicodedata.category(chr(min(k + 1, sys.maxunicode)))[0] != "M"]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
+
+
+@lru_cache(maxsize=1)
+def _pattern() -> re.Pattern:
+    """One alternative for each kind of token: a CJK run; ASCII words joined by single signs, each of them whole; a word of Latin letters;
+    a word of another script. A mark belongs to the letter before it."""
+    m = _marks()
+    ascii_word = rf"[a-z0-9]++(?![{LATIN}{m}])"
+    latin = rf"(?:[a-z0-9{LATIN}][{m}]*)+"
+    other = rf"(?:[^\W_a-z0-9{LATIN}{CJK}{m}][{m}]*)+"
+    return re.compile(rf"([{CJK}]+)|{ascii_word}(?:[-_./]{ascii_word})*|{latin}|{other}")
 
 
 def tokenize(text: str | None) -> list[str]:
     """Tokens of a text; none for null or blank text. Chinese characters come singly and in pairs without particles."""
     if not text:
         return []
-    folded = (text if text.isascii() else unicodedata.normalize("NFC", text)).casefold()
     out: list[str] = []
-    for m in _patterns()[0].finditer(folded):
+    for m in _pattern().finditer((text if text.isascii() else unicodedata.normalize("NFC", text)).casefold()):
         han = m.group(1)
-        if han is None:
-            out += _join_ascii(m.group(2))
-        else:
-            out += han
-            out += [a + b for a, b in zip(han, han[1:]) if a not in PARTICLES and b not in PARTICLES]
+        out += [m.group()] if han is None else [*han, *(a + b for a, b in zip(han, han[1:]) if a not in PARTICLES and b not in PARTICLES)]
     return out
 
 
@@ -64,3 +59,20 @@ def tokenize(text: str | None) -> list[str]:
 def tokens(text: pd.Series) -> pd.Series:
     """`tokenize` as an Arrow function of columns."""
     return text.map(tokenize)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _tokens_if_any(text: pd.Series) -> pd.Series:
+    """The same, but null for null."""
+    return text.map(tokenize, na_action="ignore")
+
+
+def terms(text: Column) -> Column:
+    """The tokens of a column, in no particular order, each as often as it occurs; an empty array for null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    word = "[a-z0-9]++(?![à-öø-ɏḀ-ỿ])"
+    words = F.regexp_extract_all(low, F.lit(rf"({word}(?:[-_./]{word})*|[a-z0-9à-öø-ɏḀ-ỿ]+)"), 1)
+    single = F.regexp_extract_all(low, F.lit("([㐀-䶿一-鿿])"), 1)
+    pairs = F.regexp_extract_all(low, F.lit(rf"(?=([㐀-䶿一-鿿&&[^{PARTICLES}]]{{2}}))"), 1)
+    odd = text.rlike(rf"[\p{{L}}\p{{N}}\p{{M}}&&[^{_PLAIN}]]")
+    return F.coalesce(_tokens_if_any(F.when(odd, text)), F.concat(words, single, pairs))

@@ -2,33 +2,38 @@
 
 A scope is the candidate pool of a query (the cards of one owner, say): lengths, document frequencies and counts are those of the scope.
 Queries meet cards through an equi-join on (scope, term); nothing is paired that shares no term. Terms of a query that no card has
-count with the largest weight in its coverage.
+count with the largest weight in its coverage. `cut` makes terms of a text: the default tokenizer, or text.terms, the simple one.
+
+Each text is cut once: lengths, document frequencies and matches come from one table of postings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import constants as C
-from cardloom.functions.text import terms
+from cardloom.functions.tokenizer import terms
+
+Cut = Callable[[Column], Column]
 
 
-def postings(cards: DataFrame, scope: str = "owner") -> DataFrame:
+def postings(cards: DataFrame, scope: str = "owner", cut: Cut = terms) -> DataFrame:
     """(scope, id, term, tf) of cards (scope, id, text). The id must be unique in its scope; rows without one are left out."""
-    rows = cards.filter(F.col("id").isNotNull()).select(F.col(scope).alias("scope"), "id", F.explode(terms(F.col("text"))).alias("term"))
+    rows = cards.filter(F.col("id").isNotNull()).select(F.col(scope).alias("scope"), "id", F.explode(cut(F.col("text"))).alias("term"))
     return rows.groupBy("scope", "id", "term").agg(F.count("*").alias("tf"))
 
 
 def pool(cards: DataFrame, scope: str = "owner") -> DataFrame:
-    """(scope, n, total) per scope: cards, cards without words too, and words."""
-    rows = cards.filter(F.col("id").isNotNull())
-    return rows.groupBy(F.col(scope).alias("scope")).agg(F.count("*").alias("n"), F.sum(F.size(terms(F.col("text")))).alias("total"))
+    """(scope, n) per scope: cards, those without words too."""
+    return cards.filter(F.col("id").isNotNull()).groupBy(F.col(scope).alias("scope")).agg(F.count("*").alias("n"))
 
 
-def query_terms(queries: DataFrame, scope: str = "owner", stopwords: tuple[str, ...] = C.STOPWORDS) -> DataFrame:
+def query_terms(queries: DataFrame, scope: str = "owner", stopwords: tuple[str, ...] = C.STOPWORDS, cut: Cut = terms) -> DataFrame:
     """(qid, scope, term), distinct and without stop words."""
-    rows = queries.select("qid", F.col(scope).alias("scope"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    rows = queries.select("qid", F.col(scope).alias("scope"), F.explode(F.array_distinct(cut(F.col("text")))).alias("term"))
     return rows.filter(~F.col("term").isin(*stopwords)) if stopwords else rows
 
 
@@ -45,6 +50,7 @@ def evaluate(
     strong_evidence: float = C.STRONG_EVIDENCE,
     strong_terms: int | None = None,
     pool_floor: int = C.POOL_FLOOR,
+    cut: Cut = terms,
 ) -> DataFrame:
     """Every (qid, id) that shares a term: score, coverage, matched, passed.
 
@@ -52,8 +58,9 @@ def evaluate(
     scores at least `strong_evidence` times the weight of an unseen term (times the root of terms over `strong_terms`, for longer
     queries). Scores and coverage are rounded to six places after the gate. Null and blank texts have no terms and so no pairs.
     """
-    asked, tf, sizes = query_terms(queries, scope, stopwords), postings(cards, scope), pool(cards, scope)
+    asked, tf = query_terms(queries, scope, stopwords, cut), postings(cards, scope, cut)
     lengths = tf.groupBy("scope", "id").agg(F.sum("tf").alias("len"))
+    sizes = pool(cards, scope).join(lengths.groupBy("scope").agg(F.sum("len").alias("total")), "scope", "left")
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
     weighed = asked.join(sizes, "scope").join(df, ["scope", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     weighed = weighed.withColumns({"idf": idf(F.col("n"), F.col("df")), "cidf": idf(F.greatest("n", F.lit(pool_floor)), F.col("df"))})

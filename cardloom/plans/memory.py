@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import constants as C
 from cardloom.functions import text as X
-from cardloom.functions import timeparse
+from cardloom.functions import timeparse, tokenizer
 from cardloom.operators import budgets, evidence, fusion, importing, lexical, lifecycle, maintenance, metrics, related, selection
 from cardloom.sources.tables import table
 
@@ -33,15 +33,15 @@ def query(sql: str | None):
 def cards(spark: SparkSession, sf: str) -> DataFrame:
     """Cards, rows delivered twice once, with the text that queries match and the times they are ordered by."""
     c = table(spark, sf, "cards").dropDuplicates(["id"])
-    text = X.match_text(None, [F.col("summary"), F.col("content"), F.col("bucket")], [F.col("threads"), F.col("retrieval_cues")])
+    text = X.match_text(None, [F.col("summary"), F.col("content"), F.col("bucket")], [F.col("threads"), X.cues(F.col("retrieval_cues"))])
     return c.withColumns({"text": text, "occurred_ts": timeparse.iso_instant(F.col("occurred_at")), "created_ts": F.col("updated_at")})
 
 
-_CARDS = r"""c0 AS (SELECT DISTINCT ON (id) * FROM cards),
+_CARDS = r"""c0 AS (SELECT DISTINCT ON (id) *, list_filter(list_transform(coalesce(retrieval_cues, []), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), lambda v: length(v) BETWEEN 1 AND 120) AS cue FROM cards),
 c1 AS (SELECT *, regexp_replace(trim(occurred_at), '^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2})(\d{2})', '\1-\2-\3T\4:\5:\6') AS iso FROM c0),
 c2 AS (SELECT *, CASE WHEN regexp_full_match(iso, '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?') THEN regexp_extract(iso,
   '^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(?::(\d{2}(?:[.,]\d+)?))?(Z|[+-]\d{2}:?\d{2})?)?$', ['d', 'hm', 's', 'z']) END AS i FROM c1),
-c AS (SELECT * EXCLUDE (iso, i), try_cast(i.d || ' ' || coalesce(nullif(i.hm, ''), '00:00') || ':' || coalesce(nullif(replace(i.s, ',', '.'), ''), '00') AS TIMESTAMP)
+c AS (SELECT * EXCLUDE (iso, i, cue), list_slice(list_filter(cue, lambda v, i: list_position(cue, v) = i), 1, 5) AS cues, try_cast(i.d || ' ' || coalesce(nullif(i.hm, ''), '00:00') || ':' || coalesce(nullif(replace(i.s, ',', '.'), ''), '00') AS TIMESTAMP)
   - (CASE WHEN i.z IN ('', 'Z') THEN 0 WHEN i.z[1] = '-' THEN -1 ELSE 1 END) * coalesce(try_cast(substr(i.z, 2, 2) AS BIGINT) * 60 + try_cast(right(i.z, 2) AS BIGINT), 0) * INTERVAL 1 MINUTE AS occurred_ts FROM c2),
 k AS (SELECT *, CASE WHEN lower(trim(coalesce(status, ''))) = 'deleted' THEN 'deleted'
     WHEN lower(trim(coalesce(status, ''))) = 'superseded' OR trim(coalesce(superseded_by, '')) <> '' THEN 'superseded'
@@ -49,7 +49,7 @@ k AS (SELECT *, CASE WHEN lower(trim(coalesce(status, ''))) = 'deleted' THEN 'de
     WHEN lower(trim(coalesce(status, ''))) IN ('', 'active') THEN 'active' ELSE 'unknown' END AS state,
   updated_at AS created_ts,
   array_to_string(list_distinct_keep(list_filter(list_concat([coalesce(summary, ''), coalesce(content, ''), coalesce(bucket, '')],
-    coalesce(threads, []), coalesce(retrieval_cues, [])), lambda x: x <> '')), chr(10)) AS text FROM c)"""
+    coalesce(threads, []), cues), lambda x: x <> '')), chr(10)) AS text FROM c)"""
 # DuckDB's list_distinct keeps no order; the first occurrence of each is kept by position instead.
 _KEEP = "list_distinct_keep("
 
@@ -68,6 +68,14 @@ def _keep_order(sql: str) -> str:
 _CARDS = _keep_order(_CARDS)
 
 
+#: Terms of a text in SQL: accented words set apart by blanks, so that signs join ASCII words only; full-width ones; Chinese characters; their pairs.
+def _terms_sql(x: str) -> str:
+    han = f"regexp_extract_all({x}, '[㐀-䶿一-鿿]{{2,}}')"
+    pairs = f"flatten(list_transform({han}, lambda r: list_filter(list_transform(range(1, length(r)), lambda i: substr(r, i, 2)), lambda p: NOT regexp_matches(p, '[{tokenizer.PARTICLES}]'))))"
+    words = f"regexp_extract_all(regexp_replace(replace(lower({x}), 'ß', 'ss'), '([a-z0-9]*[à-öø-ɏḀ-ỿ][a-z0-9à-öø-ɏḀ-ỿ]*)', ' \\1 ', 'g'), '[a-z0-9à-öø-ɏḀ-ỿ]+(?:[-_./][a-z0-9]+)*|[０-９ａ-ｚ]+')"
+    return f"list_concat({words}, regexp_extract_all({x}, '[㐀-䶿一-鿿]'), {pairs})"
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     windows = table(spark, sf, "conversations", "cid", "window").dropDuplicates(["cid"])
     return budgets.turns_of(windows.select(F.col("cid").alias("conv"), F.col("window").alias("text")))
@@ -111,12 +119,16 @@ def _bm25(pool: str = "k.state = 'active'", terms: int | None = None, floor: int
 pool AS (SELECT * FROM k WHERE """
         + pool
         + r"""),
-tok AS (SELECT owner, id, unnest(regexp_extract_all(regexp_replace(lower(text), '([一-鿿])', ' \1 ', 'g'), '([\p{L}\p{N}]+)', 1)) AS term FROM pool),
+tok AS (SELECT owner, id, unnest("""
+        + _terms_sql("text")
+        + r""") AS term FROM pool),
 tf AS (SELECT owner, id, term, count(*)::DOUBLE AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT owner, id, sum(tf) AS len FROM tf GROUP BY ALL),
 st AS (SELECT owner, count(*)::DOUBLE AS n, (SELECT sum(len) FROM dl WHERE dl.owner = pool.owner) AS total FROM pool GROUP BY owner),
 df AS (SELECT owner, term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
-qt0 AS (SELECT qid, owner, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(text), '([一-鿿])', ' \1 ', 'g'), '([\p{L}\p{N}]+)', 1))) AS term FROM q),
+qt0 AS (SELECT qid, owner, unnest(list_distinct("""
+        + _terms_sql("text")
+        + r""")) AS term FROM q),
 qt AS (SELECT * FROM qt0 WHERE NOT list_contains("""
         + _STOP
         + r""", term)),
@@ -148,18 +160,35 @@ def _evaluated(spark: SparkSession, sf: str, **knobs) -> DataFrame:
 @query(
     "WITH "
     + _CARDS
-    + r""", t AS (SELECT id, regexp_extract_all(regexp_replace(lower(text), '([一-鿿])', ' \1 ', 'g'), '([\p{L}\p{N}]+)', 1) AS l FROM k)
+    + ", t AS (SELECT id, " + _terms_sql("text") + """ AS l FROM k)
 SELECT id, CAST(len(l) AS BIGINT) AS n_terms, CAST(len(list_distinct(l)) AS BIGINT) AS n_distinct FROM t"""
 )
 def token_counts(spark, sf):
+    t = tokenizer.terms(F.col("text"))
+    return cards(spark, sf).select("id", F.size(t).cast("long").alias("n_terms"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query(
+    "WITH "
+    + _CARDS
+    + r""", t AS (SELECT id, regexp_extract_all(regexp_replace(lower(text), '([一-鿿])', ' \1 ', 'g'), '([\p{L}\p{N}]+)', 1) AS l FROM k)
+SELECT id, CAST(len(l) AS BIGINT) AS n_terms, CAST(len(list_distinct(l)) AS BIGINT) AS n_distinct FROM t"""
+)
+def simple_token_counts(spark, sf):
     t = X.terms(F.col("text"))
     return cards(spark, sf).select("id", F.size(t).cast("long").alias("n_terms"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
+@query("WITH " + _CARDS + ", t AS (SELECT id, unnest(" + _terms_sql("text") + ") AS term FROM k) SELECT term, count(DISTINCT id) AS cards, count(*) AS n FROM t GROUP BY term")
+def term_frequencies(spark, sf):
+    t = lexical.postings(cards(spark, sf).withColumn("scope_", F.lit(1)), "scope_")
+    return t.groupBy("term").agg(F.count("*").alias("cards"), F.sum("tf").alias("n"))
+
+
 @query(
     "WITH "
     + _ASKED
-    + r""", t AS (SELECT qid, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(text), '([一-鿿])', ' \1 ', 'g'), '([\p{L}\p{N}]+)', 1))) AS term FROM q)
+    + ", t AS (SELECT qid, unnest(list_distinct(" + _terms_sql("text") + r""")) AS term FROM q)
 SELECT qid, count(*) FILTER (NOT list_contains("""
     + _STOP
     + """, term)) AS kept, count(*) FILTER (list_contains("""
@@ -167,7 +196,7 @@ SELECT qid, count(*) FILTER (NOT list_contains("""
     + """, term)) AS dropped FROM t GROUP BY qid"""
 )
 def query_stopwords(spark, sf):
-    t = asked(spark, sf).select("qid", F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term"))
+    t = asked(spark, sf).select("qid", F.explode(F.array_distinct(tokenizer.terms(F.col("text")))).alias("term"))
     stop = F.col("term").isin(*C.STOPWORDS)
     return t.groupBy("qid").agg(F.count_if(~stop).alias("kept"), F.count_if(stop).alias("dropped"))
 
@@ -222,8 +251,8 @@ def cosine_topk(spark, sf):
 _LANES = (
     "WITH "
     + _bm25()
-    + """, cv AS (SELECT k.owner, k.id, e.embedding FROM k JOIN embeddings e ON e.vec_id = CAST(substr(k.id, 3) AS BIGINT) % 500 WHERE k.state = 'active'),
-qv AS (SELECT qid, owner, e.embedding FROM q JOIN embeddings e ON e.vec_id = CAST(substr(q.qid, 2) AS BIGINT) % 500),
+    + """, cv AS (SELECT k.owner, k.id, e.embedding FROM k JOIN embeddings e ON e.vec_id = CAST(substr(k.id, 3) AS BIGINT) % (SELECT count(*) FROM embeddings) WHERE k.state = 'active'),
+qv AS (SELECT qid, owner, e.embedding FROM q JOIN embeddings e ON e.vec_id = CAST(substr(q.qid, 2) AS BIGINT) % (SELECT count(*) FROM embeddings)),
 vs AS (SELECT qid, id, round(greatest(-1, least(1, list_cosine_similarity(qv.embedding::DOUBLE[], cv.embedding::DOUBLE[]))), 4) AS cosine FROM qv JOIN cv USING (owner)),
 vr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM vs WHERE cosine >= 0.1),
 f0 AS (SELECT coalesce(rk.qid, vr.qid) AS qid, coalesce(rk.id, vr.id) AS id, rk.rank AS lexical_rank, vr.rank AS vector_rank,
@@ -235,7 +264,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 def _lanes(spark, sf) -> DataFrame:
     c, q, e = active(spark, sf), asked(spark, sf), table(spark, sf, "embeddings")
     lexical_lane = lexical.ranked(lexical.evaluate(q, c), c, None)
-    number = lambda col, at: F.substr(F.col(col), F.lit(at)).cast("long") % 500
+    size = e.count()  # cards and queries are dealt out over the whole table of vectors
+    number = lambda col, at: F.substr(F.col(col), F.lit(at)).cast("long") % size
     cv = c.select("owner", "id", number("id", 3).alias("vec_id")).join(e, "vec_id").select("owner", "id", F.col("embedding").alias("vector"))
     qv = q.select("owner", "qid", number("qid", 2).alias("vec_id")).join(e, "vec_id").select("owner", "qid", F.col("embedding").alias("vector"))
     return fusion.fuse(lexical_lane, fusion.vector_top(qv, cv, None, 0.1, "owner"))
@@ -482,11 +512,7 @@ def torn_json(spark, sf):
 @query(
     "WITH "
     + _CARDS
-    + r""", n AS (SELECT id, list_filter(list_transform(coalesce(retrieval_cues, []), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), lambda v: length(v) BETWEEN 1 AND 120) AS l FROM k),
-u AS (SELECT id, list_slice("""
-    + _keep_order("list_distinct_keep(l)")
-    + """, 1, 5) AS l FROM n)
-SELECT id, array_to_string(l, '|') AS cues, CAST(len(l) AS BIGINT) AS n FROM u"""
+    + r""" SELECT id, array_to_string(cues, '|') AS cues, CAST(len(cues) AS BIGINT) AS n FROM k"""
 )
 def retrieval_cues(spark, sf):
     c = X.cues(F.col("retrieval_cues"))

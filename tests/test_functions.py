@@ -2,7 +2,7 @@ import pytest
 
 from cardloom.functions import replies
 from cardloom.functions import text as X
-from cardloom.functions.tokenizer import tokenize
+from cardloom.functions.tokenizer import terms, tokenize
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,15 @@ def test_tokenizer():
     assert tokenize(None) == tokenize("") == tokenize(" .,;") == [] and tokenize("Straße") == ["strasse"]
 
 
+ODD = ["Fix np-4286 in v2.3.1", "naïve-bayes.v2 and bayes-naïve.v2", "a_b/c--d .e. f.", "猫的车体检OK中文abc-中", "Café Müller", "Cafe\u0301 Straße ﬁne", "Ελλάς ΟΔΟΣ привет-мир", "x\U0001e130\u0301y", "ＡＢＣ カタカナ 한국", "", " ", "e\u0301-a", "Ⅷ ½ ª µ", "İstanbul ı", "don't 3,5 €"]
+
+
+def test_terms_of_columns_are_those_of_the_tokenizer(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*ODD, None, "é" * 3000 + " a" * 3000])], "k int, t string")
+    for r in df.select("k", "t", terms(F.col("t")).alias("v")).collect():
+        assert sorted(r.v) == sorted(tokenize(r.t)), r.t
+
+
 @pytest.mark.parametrize(
     "raw, want",
     [
