@@ -38,7 +38,11 @@ def vector_top(queries: DataFrame, vectors: DataFrame, limit: int | None, min_co
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = C.RRF_K, vector_weight: float = C.VECTOR_WEIGHT, lexical_weight: float = C.LEXICAL_WEIGHT) -> DataFrame:
-    """Weighted reciprocal-rank fusion of two lanes (qid, id, rank): an id of either lane is a candidate; a missing lane adds 0."""
+    """Weighted reciprocal-rank fusion of two lanes (qid, id, rank): an id of either lane is a candidate; a missing lane adds 0.
+
+    A lane of weight 0 is off: it brings no candidates either.
+    """
+    lexical, vector = (lane if weight > 0 else lane.limit(0) for lane, weight in ((lexical, lexical_weight), (vector, vector_weight)))
     lanes = lexical.select("qid", "id", F.col("rank").alias("lexical_rank")).join(vector.select("qid", "id", F.col("rank").alias("vector_rank")), ["qid", "id"], "full")
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (F.lit(float(k)) + F.col(r)), F.lit(0.0))
     fused = F.round(part(vector_weight, "vector_rank") + part(lexical_weight, "lexical_rank"), 6)

@@ -65,12 +65,13 @@ def batches(cards: DataFrame, backlog: DataFrame, related: DataFrame, limit: int
 
     cards: scope, id, threads, created_at; backlog: ids of cards that changed; related: scope, id, rank. (scope, id, step, place).
     """
-    todo = cards.join(backlog.select("id"), "id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(scope).orderBy(F.coalesce("created_at", F.lit("")), "id")))
+    todo = cards.join(backlog.select("id"), "id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(scope).orderBy(F.coalesce("created_at", F.lit("")), "id"))).filter(F.col("n") <= limit)
     half = max(1, (limit + 1) // 2)
     first = todo.filter(F.col("n") <= half)
     threads = first.select(scope, F.explode("threads").alias("thread")).distinct()
     same = cards.select(scope, "id", F.explode("threads").alias("thread")).join(threads, [scope, "thread"], "left_semi").select(scope, "id").distinct()
-    same = same.withColumn("n", F.row_number().over(Window.partitionBy(scope).orderBy("id")))
+    # More than `limit` of any kind are never needed, and a rank with a bound is cut in every task before anything is shuffled.
+    same = same.withColumn("n", F.row_number().over(Window.partitionBy(scope).orderBy("id"))).filter(F.col("n") <= limit)
     step = lambda df, k, name: df.select(scope, "id", F.lit(k).alias("k"), F.lit(name).alias("step"), F.col("n").cast("long").alias("n"))
     parts = [step(first, 0, "backlog"), step(same, 1, "thread"), step(related.withColumn("n", F.col("rank")), 2, "related"), step(todo, 3, "backlog")]
     each = reduce(DataFrame.unionByName, parts).groupBy(scope, "id").agg(F.min(F.struct("k", "n", "step")).alias("x")).select(scope, "id", "x.*")
@@ -79,8 +80,8 @@ def batches(cards: DataFrame, backlog: DataFrame, related: DataFrame, limit: int
 
 
 def fuse_blown(retiring: Column, active: Column, ratio: float = C.FUSE_RATIO, least: int = C.FUSE_CARDS) -> Column:
-    """Whether a batch retires too much of a garden: at least `least` cards and more than `ratio` of the active ones."""
-    return (retiring >= least) & (retiring > active * ratio)
+    """Whether a batch retires too much of a garden: at least `least` cards and more than `ratio` of the active ones; never without any."""
+    return (active > 0) & (retiring >= least) & (retiring > active * ratio)
 
 
 _GRAM = C.ID_LEAK_CHARS

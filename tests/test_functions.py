@@ -64,3 +64,15 @@ def test_text_gates(spark):
     assert [r.v for r in torn] == [True, False, False, True]
     two = spark.createDataFrame([("abcd", "abce"), ("", ""), ("a", "a"), (None, "ab")], "a string, b string").select(X.bigram_jaccard(F.col("a"), F.col("b")).alias("v")).collect()
     assert [r.v for r in two] == [0.5, 0, 0, 0]
+
+
+@pytest.mark.parametrize("raw, want", [("a<think>b</think>c", "ac"), ("<think>a<think>b</think>c</think>", None), ("a</think>b", None), ("<reasoning>", None), ("plain", "plain"), ("<THINK>x</think><think>y</think>z", "z")])
+def test_reasoning_fails_closed(raw, want):
+    assert replies.strip_reasoning(raw) == want
+
+
+def test_blocks_and_known_ids():
+    assert replies.balanced_block('x {"a": "}", "b": {"c": "\\"}"}} y {') == '{"a": "}", "b": {"c": "\\"}"}}'
+    assert replies.balanced_block('{"open": "') is None and replies.balanced_block("none") is None and replies.balanced_block("{}") == "{}"
+    reply = '{"consolidations": [{"card_ids": ["a"], "summary": "s", "content": "c"}]}'
+    assert replies.consolidations(reply)[1] is None and replies.consolidations(reply, frozenset())[1] == "invalid_card_ids"
