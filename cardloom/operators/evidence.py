@@ -6,56 +6,71 @@ kind decide the rung. Nothing is compared that shares no unit.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import bigram_jaccard
 
 #: Words that are never evidence, words that are weak evidence, and characters that join phrases.
-STOP = tuple("the and you your for with that this what when where why how can could would should about again then than into from have has had will just really very also there here".split())
-GENERIC = tuple("ai api app bot bug card chat code data debug file fix image ios issue json key memory message model page photo prompt project reply screen server system task test token tool user work day today tomorrow tonight week month thing stuff help done finish finished tired".split())
+STOP = frozenset("the and you your for with that this what when where why how can could would should about again then than into from have has had will just really very also there here".split())
+GENERIC = frozenset("ai api app bot bug card chat code data debug file fix image ios issue json key memory message model page photo prompt project reply screen server system task test token tool user work day today tomorrow tonight week month thing stuff help done finish finished tired".split())
 STOP_CHARS = "我你他她它的是了在和就都不吗呢啊吧这那什么怎么一个有没给要说"
-GENERIC_PHRASES = tuple("今天 明天 昨天 现在 刚刚 这个 那个 一下 东西 事情 项目 任务 工作 问题 代码 系统 消息 聊天 记忆 模型 图片 截图 文件 页面 完成 测试 修复 好累 很累".split())
+GENERIC_PHRASES = frozenset("今天 明天 昨天 现在 刚刚 这个 那个 一下 东西 事情 项目 任务 工作 问题 代码 系统 消息 聊天 记忆 模型 图片 截图 文件 页面 完成 测试 修复 好累 很累".split())
 MIN_RELEVANCE = 0.35
 
 
-def _grams(items: Column, least: int, most: int, joiner: str) -> Column:
-    """All runs of `least` to `most` neighbouring items, joined."""
-    n = F.size(items)
-
-    def of(size: int) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(items, i, size), joiner))
-
-    return reduce(lambda a, b: F.concat(a, b), [of(k) for k in range(least, most + 1)])
-
-
 def _han(low: Column) -> Column:
     """Single Chinese characters that do not only join."""
     return F.filter(F.regexp_extract_all(low, F.lit("([一-鿿])"), 1), lambda c: ~c.rlike(f"[{STOP_CHARS}]"))
 
 
+_WORDS, _HAN_RUN, _HAN_CHAR = re.compile(r"[a-z0-9_]{2,}"), re.compile("[一-鿿]{2,}"), re.compile("[一-鿿]")
+_RUN, _PART = re.compile(r"[a-z0-9_]+(?:[ \t\n\x0b\f\r_\-]+[a-z0-9_]+)+"), re.compile(r"[a-z0-9_]+")
+
+
+def units_of(text: str | None, singles: bool = True) -> set[tuple[str, str]]:
+    """(kind, unit) of a text: rare and weak words, and phrases of 2 to 5 words or 2 to 4 Chinese characters without joining ones."""
+    low = (text or "").lower()
+    out = set()
+    for w in _WORDS.findall(low):
+        if w in GENERIC:
+            out.add(("weak", w))
+        elif w not in STOP and len(w) >= 3:
+            out.add(("rare", w))
+    for run in _HAN_RUN.findall(low):
+        for part in re.split(f"[{STOP_CHARS}]", run):
+            out.update(("phrase", g) for n in (2, 3, 4) for k in range(len(part) - n + 1) if (g := part[k : k + n]) not in GENERIC_PHRASES)
+    for run in _RUN.findall(low):
+        words = _PART.findall(run)
+        for n in range(2, 6):
+            for k in range(len(words) - n + 1):
+                part = words[k : k + n]
+                if part[0] not in STOP and part[-1] not in STOP and not all(len(w) == 1 or w in STOP or w in GENERIC for w in part):
+                    out.add(("phrase", " ".join(part)))
+    if singles:
+        out.update(("weak", c) for c in _HAN_CHAR.findall(low) if c not in STOP_CHARS)
+    out.update(("weak", p) for p in GENERIC_PHRASES if p in low)
+    return out
+
+
 def units(rows: DataFrame, text: str, *keys: str, singles: bool = True) -> DataFrame:
-    """(keys, kind, unit), distinct: rare and weak words, and phrases of 2 to 5 words or 2 to 4 Chinese characters without joining ones."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"([a-z0-9_]{2,})"), 1)
-    content = F.filter(words, lambda w: ~w.isin(*STOP))
-    generic = lambda w: w.isin(*GENERIC)
-    chunks = F.regexp_extract_all(low, F.lit("([一-鿿]{2,})"), 1)
-    han = F.flatten(F.transform(F.transform(chunks, lambda c: F.split(c, "")), lambda a: _grams(a, 2, 4, "")))
-    han = F.filter(han, lambda g: ~g.rlike(f"[{STOP_CHARS}]") & ~g.isin(*GENERIC_PHRASES))
-    runs = F.regexp_extract_all(low, F.lit(r"([a-z0-9_]+(?:[\s_\-]+[a-z0-9_]+)+)"), 1)
-    latin = F.flatten(F.transform(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(r"([a-z0-9_]+)"), 1)), lambda a: _grams(a, 2, 5, " ")))
-    plain = "|".join(("[a-z0-9_]", *STOP, *GENERIC))
-    latin = F.filter(latin, lambda p: ~p.rlike(rf"^(?:{plain})(?: (?:{plain}))*$") & ~p.rlike(rf"^(?:{'|'.join(STOP)}) | (?:{'|'.join(STOP)})$"))
-    chars = _han(low) if singles else F.expr("cast(array() as array<string>)")
-    known = F.filter(F.array(*map(F.lit, GENERIC_PHRASES)), lambda p: F.contains(low, p))
-    kinds = {"rare": F.filter(content, lambda w: ~generic(w) & (F.length(w) >= 3)), "weak": F.concat(F.filter(content, generic), chars, known), "phrase": F.concat(han, latin)}
-    named = lambda k: lambda u: F.struct(F.lit(k).alias("kind"), u.alias("unit"))
-    each = F.flatten(F.array(*[F.transform(v, named(k)) for k, v in kinds.items()]))
-    return rows.select(*keys, F.inline(F.array_distinct(each)))
+    """(keys, kind, unit), distinct: the units of each row's text, cut in Arrow batches."""
+    names = [*keys, "kind", "unit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [units_of(t, singles) for t in batch.column(len(keys)).to_pylist()]
+            at = pa.array([k for k, x in enumerate(found) for _ in x], pa.int64())
+            flat = [u for x in found for u in x]
+            arrays = [*(batch.column(k).take(at) for k in range(len(keys))), pa.array([k for k, _ in flat], pa.string()), pa.array([u for _, u in flat], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, text).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "kind string", "unit string"]))
 
 
 def relevance(queries: DataFrame, cards: DataFrame, scope: str = "owner", passing: bool = True) -> DataFrame:

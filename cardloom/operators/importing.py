@@ -45,14 +45,14 @@ def candidates(found: DataFrame, most: int = C.MOST_CANDIDATES) -> DataFrame:
     return budgets.first_wins(found.withColumn("key", dedupe_key(F.col("summary"))).filter("key <> ''"), "key", ["batch", "place"], "scope", most)
 
 
-def index_pick(ranked: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
+def index_pick(ranked: DataFrame, important: DataFrame, limit: int) -> DataFrame:
     """(qid, id, place): three quarters of an index by relevance, the rest by importance, gaps filled by whichever is left.
 
-    ranked: qid, id, rank; cards: qid, id, importance.
+    ranked: qid, id, rank; important: qid, id, w, the `limit` weightiest candidates of each query (all, if there are fewer): with these
+    there is enough for every place, so that no query meets the rest of its candidates.
     """
     share = max(1, limit * 3 // 4)
-    weight = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.coalesce("importance", F.lit(0.0))), "id"))
-    both = cards.withColumn("w", weight).join(ranked.select("qid", "id", "rank"), ["qid", "id"], "left")
-    step: Column = F.when(F.col("rank") <= share, 0).when(F.col("w") <= limit, 1).when(F.col("rank").isNotNull(), 2).otherwise(3)
-    order = F.row_number().over(Window.partitionBy("qid").orderBy(step, F.when(step.isin(0, 2), F.col("rank")).otherwise(F.col("w")), "id"))
+    both = ranked.select("qid", "id", "rank").join(important.select("qid", "id", "w"), ["qid", "id"], "full")
+    step: Column = F.when(F.col("rank") <= share, 0).when(F.col("w").isNotNull(), 1).otherwise(2)
+    order = F.row_number().over(Window.partitionBy("qid").orderBy(step, F.when(step == 1, F.col("w")).otherwise(F.col("rank")), "id"))
     return both.withColumn("place", order.cast("long")).filter(F.col("place") <= limit).select("qid", "id", "place")

@@ -706,7 +706,9 @@ def _judged(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked_ = c.filter("role = 'turning_point'").select(F.col("id").alias("qid"), "owner", F.col("summary").alias("text"), "bucket")
     results = lexical.ranked(lexical.evaluate(asked_, c), c, 8).select("qid", "id", "rank")
     must = asked_.select("qid", F.col("qid").alias("id"), F.lit("must").alias("label"))
-    should = asked_.join(c.select("owner", "bucket", "id"), ["owner", "bucket"]).filter("qid <> id").select("qid", "id", F.lit("should").alias("label"))
+    # Of the others only those that were found count: labels are given to results, no bucket is paired with itself.
+    found = results.join(asked_.select("qid", "bucket"), "qid").join(c.select("id", F.col("bucket").alias("its")), "id")
+    should = found.filter("qid <> id and bucket = its").select("qid", "id", F.lit("should").alias("label"))
     return results, must.unionByName(should), asked_.select("qid", F.lit(False).alias("expect_empty"), F.coalesce("bucket", F.lit("")).alias("category"))
 
 
@@ -775,4 +777,5 @@ SELECT qid, id, place FROM o WHERE place <= 20"""
 def import_index(spark, sf):
     c, q = active(spark, sf), asked(spark, sf)
     ranked = lexical.ranked(lexical.evaluate(q, c), c, None)
-    return importing.index_pick(ranked, q.select("qid", "owner").join(c.select("owner", "id", "importance"), "owner"), 20)
+    weighty = selection.top_by(c, "owner", [F.desc(F.coalesce("importance", F.lit(0.0))), F.asc("id")], 20).select("owner", "id", F.col("rank").alias("w"))
+    return importing.index_pick(ranked, q.select("qid", "owner").join(weighty, "owner"), 20)

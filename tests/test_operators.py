@@ -156,3 +156,24 @@ def test_leaked_ids_equal_a_substring_search(spark, tmp_path):
         ("cards", "m_000000001", "summary", "m_000000002"), ("cards", "m_000000002", "content", "m_000000001"),
         ("mutations", "1", "card.content", "m_000000002"), ("mutations", "2", "changes.content", "g_000000009"), ("mutations", "2", "reason", "m_000000001"),
     }
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(fusion, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(fusion, "QUERY_BLOCK", 3)
+    rng = random.Random(1)
+    rows = [(f"v{k:02d}", rng.choice("ab"), [rng.uniform(-1, 1) for _ in range(4)]) for k in range(40)] + [("v90", "a", [1.0, 0.0, 0.0, 0.0]), ("v91", "a", [1.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id string, owner string, vector array<double>")
+    q = v.withColumnRenamed("id", "qid").filter("qid < 'v12' or qid = 'v90'")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for limit, scope in ((3, None), (None, "owner")):
+        want = set()
+        for qid, own, a in [r for r in rows if r[0] < "v12" or r[0] == "v90"]:
+            near = sorted((-round(cos(a, b), 4), i) for i, o, b in rows if i != qid and (o == own or not scope) and round(cos(a, b), 4) >= 0.1)
+            want |= {(qid, i, n + 1) for n, (_, i) in enumerate(near[:limit])}
+        assert {(r.qid, r.id, r["rank"]) for r in fusion.vector_top(q, v, limit, 0.1, scope).collect()} == want
+    with pytest.raises(Exception):
+        fusion.vector_top(q, spark.createDataFrame([("x", "a", [0.0] * 4)], v.schema), 3, 0.1).collect()
+    assert fusion.vector_top(q, v.limit(0), 3, 0.1).collect() == []
