@@ -42,6 +42,7 @@ def vector_top(queries: DataFrame, vectors: DataFrame, limit: int | None, min_co
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = asked.join(grid, "scope_").withColumn("q_", own("nq_")).withColumn("v_", every("nv_")).drop("nq_", "nv_")
     held = held.join(grid, "scope_").withColumn("v_", own("nv_")).withColumn("q_", every("nq_")).drop("nq_", "nv_")
+    held = held.select(*(F.col(c).alias(c) for c in held.columns))  # columns of its own, should both sides come from one table
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
 
     def nearest(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -57,7 +58,7 @@ def vector_top(queries: DataFrame, vectors: DataFrame, limit: int | None, min_co
         i, j = np.nonzero(near >= max(min_cosine, -1))
         return pd.DataFrame({"qid": q["id_"].to_numpy()[i], "id": v["id_"].to_numpy()[j], "cosine": near[i, j]})
 
-    pairs = asked.groupBy("scope_", "q_", "v_").cogroup(held.groupBy("scope_", "q_", "v_")).applyInPandas(nearest, f"qid {kinds[0]}, id {kinds[1]}, cosine double")
+    pairs = asked.select("scope_", "q_", "v_", "id_", "vector").groupBy("scope_", "q_", "v_").cogroup(held.groupBy("scope_", "q_", "v_")).applyInPandas(nearest, f"qid {kinds[0]}, id {kinds[1]}, cosine double")
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), F.asc("id"))))
     kept = pairs if limit is None else pairs.filter(F.col("rank") <= limit)
     return kept.select("qid", "id", F.col("rank").cast("long").alias("rank"), "cosine")
