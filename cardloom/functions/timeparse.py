@@ -101,14 +101,15 @@ def canonical_form(raw: Column, month_first: Column) -> tuple[Column, Column]:
 
 
 def parse(values: DataFrame) -> DataFrame:
-    """`instant_` and `date_` for each (raw_, zone_, month_first_).
+    """`instant_` and `date_` for each (raw_, zone_, month_first_); other columns are kept.
 
     A bare number counts from 1970: seconds, or milli-, micro- or nanoseconds by its size. The steps are separate projections,
     each of a few columns, so that no pattern is evaluated twice.
     """
     form, day = canonical_form(F.col("raw_"), F.col("month_first_"))
     at = lambda k: F.get(F.col("part_"), F.lit(k))
-    df = values.select("raw_", "zone_", "month_first_", F.split(form, r"\|").alias("part_"), F.split(day, r"\|").alias("day_"), _strip(F.col("raw_")).alias("s_"))
+    kept = values.columns
+    df = values.select(*kept, F.split(form, r"\|").alias("part_"), F.split(day, r"\|").alias("day_"), _strip(F.col("raw_")).alias("s_"))
     df = df.withColumns(
         {
             "half_": F.upper(at(7)),
@@ -147,7 +148,7 @@ def parse(values: DataFrame) -> DataFrame:
     )
     day_at = lambda k: _number(F.get(F.col("day_"), F.lit(k)))
     date = F.when(F.col("day_month_").isNotNull(), F.format_string("%04d-%02d-%02d", day_at(0), F.col("day_month_"), day_at(2)).try_cast("date"))
-    return df.select("raw_", "zone_", "month_first_", instant.alias("instant_"), date.alias("date_"))
+    return df.select(*kept, instant.alias("instant_"), date.alias("date_"))
 
 
 #: Microseconds from 1970 back to year 1: no instant is earlier.

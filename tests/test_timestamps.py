@@ -60,9 +60,25 @@ def test_case(parsed, k):
 
 def test_dictionary_grows_by_what_is_new_only(spark, tmp_path):
     d = timestamps.TimestampDictionary(spark, str(tmp_path / "dictionary"))
-    keys = lambda *v: spark.createDataFrame([(x, "UTC", False) for x in v], "raw_ string, zone_ string, month_first_ boolean")
+    keys = lambda *v: spark.createDataFrame([(x, "import", "UTC", False) for x in v], "raw_ string, source_ string, zone_ string, month_first_ boolean")
     assert d.extend(keys("2025-01-01", "a")).count() == 2
     assert d.extend(keys("2025-01-01", "b")).count() == 3
+    d.read().write.mode("append").parquet(str(tmp_path / "twice"))
+    again = timestamps.TimestampDictionary(spark, str(tmp_path / "twice"))
+    d.read().write.mode("append").parquet(str(tmp_path / "twice"))  # a job that was tried again
+    assert again.read().count() == 6 and again.extend(keys("c")).count() == 4
+
+
+def test_dictionary_of_the_session_is_kept(spark, tmp_path):
+    spark.conf.set(timestamps.SETTING, str(tmp_path / "kept"))
+    try:
+        cards = spark.createDataFrame([("a", "o", "x", "2025-01-02T00:00:00Z", "2025-01-01 00:00"), ("b", None, None, None, "")], "id string, owner string, source string, occurred_at string, created_at string")
+        gardens = spark.createDataFrame([("o", "Europe/Berlin", "de")], "owner string, tz string, locale string")
+        for _ in range(2):
+            assert [r.id for r in timestamps.written_before_it_happened(cards, gardens).collect()] == ["a"]
+            assert timestamps.TimestampDictionary(spark).read().count() == 3
+    finally:
+        spark.conf.unset(timestamps.SETTING)
 
 
 def test_empty_table(spark):
