@@ -23,7 +23,8 @@ from cardloom.llm.pii_seeds import SEEDS
 from cardloom.session import written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-MOST_CHARS = 90
+#: No segment is longer: that of the longest e-mail address that mail allows.
+MOST_CHARS = 320
 #: Counts of words that a task holds before it passes them on to be added up.
 HELD_COUNTS = 200_000
 

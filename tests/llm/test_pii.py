@@ -73,3 +73,10 @@ def test_names_are_learned_from_all_texts(spark):
     got, want = pii.lexicon(df, names), pii.learn(texts, {"Nora", "晚晴"})
     assert {s.lower() for s in rare} <= got.surnames
     assert (got.given, got.han, got.surnames) == (want.given, want.han, want.surnames) and "Zelda" in got.given
+
+
+def test_long_addresses_are_found_whole():
+    address = "first.last-" + "a" * 50 + "@" + ".".join(["subdomain" * 4] * 3) + ".example"
+    lex, w = pii.Lexicon({"Anna"}), pii.weights()
+    assert 90 < len(address) <= pii.MOST_CHARS
+    assert [f"write to {address} soon"[s:e] for s, e, _ in pii.find(f"write to {address} soon", lex, w)] == [address]
