@@ -9,7 +9,7 @@ from cardloom.functions import constants as C
 from cardloom.functions import labels as L
 from cardloom.functions import text as X
 from cardloom.operators import curation as K
-from cardloom.operators import lexical, lifecycle, maintenance
+from cardloom.operators import lexical, lifecycle, maintenance, metrics, selection
 from cardloom.plans import memory
 from cardloom.plans.memory import _ASKED, _CARDS, _PLACEHOLDER, _SEATS, _TURNS, _bm25, active, asked, cards, query, turns
 from cardloom.sources.tables import table
@@ -243,8 +243,6 @@ SELECT q.qid, substr(sha256(coalesce(q.text, '')), 1, 12) AS query_fingerprint,
 FROM q LEFT JOIN n USING (qid) LEFT JOIN i USING (qid)""")
 def injection_record(spark, sf):
     """One row of observations per query, without any content."""
-    from cardloom.operators import selection
-
     c, q = active(spark, sf), asked(spark, sf)
     ev = lexical.evaluate(q, c)
     seats = selection.seats(lexical.ranked(ev, c.drop("rank"), None).join(c.select("id", "role", "created_ts"), "id"))
@@ -279,8 +277,6 @@ def standing_rules(spark, sf):
 SELECT owner, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY n)) AS digest FROM d WHERE n <= 40 GROUP BY owner""")
 def candidate_digest(spark, sf):
     """Candidates of an import, at most 40 a batch, as the lines of the second pass."""
-    from cardloom.operators import selection
-
     c = active(spark, sf).filter(X.none_if_blank(F.col("summary")).isNotNull())
     date = F.coalesce(X.none_if_blank(F.col("occurred_at")), F.lit("-"))
     first = selection.top_by(c, "owner", [F.asc("id")], 40).withColumn("line", F.concat(F.lit("- [person] "), F.trim(date), F.lit(" · "), "summary"))
@@ -294,4 +290,72 @@ def lifecycle_cube(spark, sf):
     return n.select(F.coalesce("tenant", F.lit("*")).alias("tenant"), F.coalesce("state", F.lit("*")).alias("state"), "n")
 
 
+# -- experiments ------------------------------------------------------------------------------------------------------------------------
+
+_GRID = " SELECT floor, CASE WHEN n <= 5 THEN 'small' WHEN n <= 20 THEN 'middle' ELSE 'large' END AS size, passed FROM ev JOIN st ON st.owner = ev.scope"
+
+
+@query(
+    "WITH one AS (WITH " + _bm25(floor=1) + _GRID.replace("SELECT floor", "SELECT 1 AS floor") + "), twenty AS (WITH " + _bm25(floor=20) + _GRID.replace("SELECT floor", "SELECT 20 AS floor") + """), g AS (SELECT * FROM one UNION ALL SELECT * FROM twenty)
+SELECT floor::BIGINT AS floor, coalesce(size, '*') AS size, count(*) AS pairs, count(*) FILTER (passed) AS found FROM g GROUP BY GROUPING SETS ((floor, size), (floor))"""
+)
+def small_pool_grid(spark, sf):
+    """What the floor of the pool changes, by the size of the garden."""
+    c, q = active(spark, sf), asked(spark, sf)
+    sizes = lexical.pool(c)
+    size = F.when(F.col("n") <= 5, "small").when(F.col("n") <= 20, "middle").otherwise("large")
+    both = [lexical.evaluate(q, c, pool_floor=k).select("scope", "passed", F.lit(k).cast("long").alias("floor")) for k in (1, 20)]
+    g = both[0].unionAll(both[1]).join(sizes, "scope").select("floor", size.alias("size"), "passed")
+    out = g.rollup("floor", "size").agg(F.count("*").alias("pairs"), F.count_if("passed").alias("found"))
+    return out.filter("floor is not null").select("floor", F.coalesce("size", F.lit("*")).alias("size"), "pairs", "found")
+
+
+@query(
+    memory._JUDGED
+    + """, rc AS (SELECT q.qid, k.id, row_number() OVER (PARTITION BY q.qid ORDER BY k.created_ts DESC NULLS LAST, k.id) AS n FROM q JOIN k ON k.owner = q.owner AND k.state = 'active'),
+s AS (SELECT qid, id, 'relevance' AS stage FROM rk WHERE rank <= 3 UNION ALL SELECT qid, id, 'recent' FROM rc WHERE n <= 4 AND NOT EXISTS (SELECT 1 FROM rk WHERE rk.rank <= 3 AND rk.qid = rc.qid AND rk.id = rc.id))
+SELECT stage, count(*) AS shown, count(*) FILTER (tr.label = 'must') AS must, count(*) FILTER (tr.label = 'should') AS should FROM s LEFT JOIN tr ON tr.qid = s.qid AND tr.id = s.id GROUP BY stage"""
+)
+def recall_by_stage(spark, sf):
+    """Which stage brings what was asked for: the best three by relevance, then the newest four that are left of the first ones."""
+    c = active(spark, sf)
+    asked_ = c.filter("role = 'turning_point'").select(F.col("id").alias("qid"), "owner", F.col("summary").alias("text"), "bucket")
+    first = lexical.ranked(lexical.evaluate(asked_, c), c, 3).select("qid", "id", F.lit("relevance").alias("stage"))
+    newest = selection.top_by(c.select("owner", "id", "created_ts"), "owner", [F.desc_nulls_last("created_ts"), F.asc("id")], 4)
+    recent = asked_.select("qid", "owner").join(newest, "owner").join(first.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit("recent").alias("stage"))
+    found = first.unionAll(recent).join(asked_.select("qid", "bucket"), "qid").join(c.select("id", F.col("bucket").alias("its")), "id")
+    own, same = F.col("qid") == F.col("id"), F.coalesce(F.col("bucket") == F.col("its"), F.lit(False))
+    return found.groupBy("stage").agg(F.count("*").alias("shown"), F.count_if(own).alias("must"), F.count_if(~own & same).alias("should"))
+
+
+@query("WITH " + _CARDS + """, v AS (SELECT importance, row_number() OVER (ORDER BY importance) - 1 AS place, count(*) OVER () AS n FROM k WHERE importance IS NOT NULL)
+SELECT p, importance AS value FROM (SELECT unnest([50, 90, 95, 99])::BIGINT AS p) JOIN v ON v.place = round_even(p / 100.0 * (n - 1), 0)""")
+def importance_percentiles(spark, sf):
+    """Nearest-rank percentiles of all cards' importance."""
+    return metrics.nearest_rank(cards(spark, sf), "importance", [50, 90, 95, 99]).withColumn("p", F.col("p").cast("long"))
+
+
+@query("WITH " + _bm25().replace("WHERE passed)", ")") + " SELECT qid, count(*) AS pairs, max(rank) AS last, arg_min(id, rank) AS best FROM rk GROUP BY qid")
+def index_ranker(spark, sf):
+    """The ranker of an import's index: every card that shares a term, with no gate."""
+    c = active(spark, sf)
+    r = lexical.ranked(lexical.evaluate(asked(spark, sf), c, min_coverage=0.0, strong_evidence=0.0), c, None)
+    return r.groupBy("qid").agg(F.count("*").alias("pairs"), F.max("rank").alias("last"), F.min_by("id", "rank").alias("best"))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT ON (feed_seq) *, CASE WHEN trim(coalesce(op, '')) = '' THEN 'add' ELSE lower(trim(op)) END AS o FROM mutations),
+s AS (SELECT CASE WHEN o = 'promote' THEN to_mount ELSE coalesce(mount, 'agent-private') END AS mount, o FROM f WHERE o IN ('add', 'supersede') AND coalesce(card.source, '') <> 'memory_dream' OR o = 'promote' AND to_mount <> coalesce(mount, 'agent-private'))
+SELECT mount, count(*) FILTER (o <> 'promote') AS written, count(*) FILTER (o = 'promote') AS promoted, count(*) AS seeds FROM s GROUP BY mount""")
+def seed_counts(spark, sf):
+    """New seeds per mount: adds and supersedes not written by maintenance, and promotes that move a card."""
+    m = table(spark, sf, "mutations").dropDuplicates(["feed_seq"])
+    op = F.when(F.trim(F.coalesce("op", F.lit(""))) == "", "add").otherwise(F.lower(F.trim("op")))
+    home = F.coalesce("mount", F.lit("agent-private"))
+    rows = m.select(op.alias("op"), home.alias("home"), "to_mount", F.coalesce("card.source", F.lit("")).alias("source"))
+    moved = (F.col("op") == "promote") & (F.col("to_mount") != F.col("home"))
+    new = F.col("op").isin("add", "supersede") & (F.col("source") != C.DREAM_SOURCE)
+    rows = rows.filter(moved | new).withColumn("mount", F.when(F.col("op") == "promote", F.col("to_mount")).otherwise(F.col("home")))
+    return rows.groupBy("mount").agg(F.count_if(F.col("op") != "promote").alias("written"), F.count_if(F.col("op") == "promote").alias("promoted"), F.count("*").alias("seeds"))
+
+
 QUERIES, SQL = memory.QUERIES, memory.SQL
