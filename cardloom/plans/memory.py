@@ -753,7 +753,49 @@ def idle_sessions(spark, sf):
 
 
 
-@query(None)
+_sql_list = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+def _units_sql(name: str, rows: str) -> str:
+    """CTE `name` (key, owner, kind, unit): the units of rows (key, owner, x), as `evidence.units` has them."""
+    stop, generic, phrases = _sql_list(evidence.STOP), _sql_list(evidence.GENERIC), _sql_list(evidence.GENERIC_PHRASES)
+    return rf"""{name}_w AS (SELECT DISTINCT key, owner, unnest(regexp_extract_all(x, '[a-z0-9_]{{2,}}')) AS unit FROM {rows}),
+{name}_h AS (SELECT key, owner, unnest(regexp_extract_all(regexp_replace(x, '[{evidence.STOP_CHARS}]', ' ', 'g'), '[一-鿿]{{2,}}')) AS r FROM {rows}),
+{name}_g AS (SELECT DISTINCT key, owner, unnest(flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, greatest(1, length(r) - n + 2)), lambda k: substr(r, k, n))))) AS unit FROM {name}_h),
+{name}_r AS (SELECT key, owner, regexp_extract_all(r, '[a-z0-9_]+') AS ws FROM (SELECT key, owner, unnest(regexp_extract_all(x, '[a-z0-9_]+(?:[ \t\n\x0b\f\r_\-]+[a-z0-9_]+)+')) AS r FROM {rows})),
+{name}_l AS (SELECT DISTINCT key, owner, unnest(flatten(list_transform([2, 3, 4, 5], lambda n: list_transform(range(1, greatest(1, len(ws) - n + 2)), lambda k: list_slice(ws, k, k + n - 1))))) AS part FROM {name}_r),
+{name} AS (SELECT key, owner, CASE WHEN list_contains({generic}, unit) THEN 'weak' ELSE 'rare' END AS kind, unit FROM {name}_w WHERE NOT list_contains({stop}, unit) AND (length(unit) >= 3 OR list_contains({generic}, unit))
+  UNION ALL SELECT key, owner, 'phrase', unit FROM {name}_g WHERE NOT list_contains({phrases}, unit)
+  UNION ALL SELECT key, owner, 'phrase', array_to_string(part, ' ') FROM {name}_l WHERE NOT list_contains({stop}, part[1]) AND NOT list_contains({stop}, part[-1]) AND len(list_filter(part, lambda w: length(w) > 1 AND NOT list_contains({stop}, w) AND NOT list_contains({generic}, w))) > 0
+  UNION ALL SELECT key, owner, 'weak', unnest(list_filter({phrases}, lambda p: contains(x, p))) FROM {rows})"""
+
+
+def _pairs_of(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2)))"
+
+
+_LEGACY = (
+    "WITH "
+    + _CARDS
+    + ",\n"
+    + _ASKED
+    + ", qx AS (SELECT qid AS key, owner, lower(coalesce(text, '')) AS x FROM q), cx AS (SELECT id AS key, owner, lower(coalesce(text, '')) AS x FROM k WHERE state = 'active'),\n"
+    + _units_sql("qu", "qx")
+    + ",\n"
+    + _units_sql("cu", "cx")
+    + rf""", n0 AS (SELECT qu.key AS qid, cu.key AS id, count(*) FILTER (kind = 'phrase' AND length(replace(unit, ' ', '')) >= 4) AS e, count(*) FILTER (kind = 'phrase') AS p, count(*) FILTER (kind = 'rare') AS r, count(*) FILTER (kind = 'weak') AS w0,
+  count(*) FILTER (kind = 'weak' AND (regexp_matches(unit, '[a-z0-9_]') OR length(unit) >= 2)) AS s FROM qu JOIN cu USING (owner, kind, unit) GROUP BY ALL),
+n1 AS (SELECT n0.*, qx.x AS qt, cx.x AS ct FROM n0 JOIN qx ON qx.key = qid JOIN cx ON cx.key = id WHERE p > 0 OR r > 0 OR s >= 2),
+n2 AS (SELECT *, CASE WHEN p = 0 AND r = 1 AND w0 = 0 AND len(list_intersect(list_filter(regexp_extract_all(qt, '[一-鿿]'), lambda c: NOT contains('{evidence.STOP_CHARS}', c)), regexp_extract_all(ct, '[一-鿿]'))) > 0 THEN 1 ELSE w0 END AS w,
+  CASE WHEN p = 0 AND r = 0 THEN coalesce(len(list_intersect({_pairs_of('qt')}, {_pairs_of('ct')})) / nullif(len(list_distinct(list_concat({_pairs_of('qt')}, {_pairs_of('ct')}))), 0)::DOUBLE, 0) ELSE 0 END AS b FROM n1),
+n3 AS (SELECT qid, id, CASE WHEN e > 0 THEN [0.86 + least(0.08, 0.02 * e), 3, 1] WHEN p > 0 THEN [0.68 + least(0.12, 0.03 * p), 3, 2] WHEN r >= 2 THEN [0.52 + least(0.12, 0.03 * r), 2, 3] WHEN r = 1 AND w > 0 THEN [0.36, 2, 4] WHEN r = 1 THEN [0.28, 1, 5]
+  WHEN s >= 3 OR s >= 2 AND b >= 0.12 THEN [least(0.42, 0.24 + 0.04 * s + least(0.06, b)), 2, 6] ELSE [0, 1, 7] END::DOUBLE[] AS v FROM n2)
+SELECT qid, id, round(v[1], 4) AS score, CASE v[2] WHEN 3 THEN 'strong' ELSE 'medium' END AS confidence, ['entity_phrase_match', 'phrase_match', 'multiple_rare_terms', 'rare_term_with_support', 'single_rare_term', 'multiple_weak_terms', ''][v[3]::INT] AS reason
+FROM n3 WHERE round(v[1], 4) >= {evidence.MIN_RELEVANCE} AND v[2] >= 2"""
+)
+
+
+@query(_LEGACY)
 def legacy_relevance(spark, sf):
     return evidence.relevance(asked(spark, sf), active(spark, sf))
 
