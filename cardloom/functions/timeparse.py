@@ -170,3 +170,11 @@ def iso_instant(value: Column) -> Column:
     wall = F.try_make_timestamp(F.when(at(0) > 0, at(0)), at(1), at(2), at(3), at(4), F.when(at(5) < 60, at(5)).cast("decimal(16,6)"), F.lit("UTC"))
     instant = F.unix_micros(wall) + micros - shift
     return F.when(parts.isNotNull() & (minutes < 24 * 60) & (instant >= _YEAR_ONE), F.timestamp_micros(instant))
+
+
+def canonical_time(value: Column) -> Column:
+    """The written form of a card's time: a bare date as it is, an instant in UTC with Z (and microseconds, if it has any), else empty."""
+    s = _strip(F.coalesce(value, F.lit("")))
+    at = iso_instant(s)
+    form = F.when(F.unix_micros(at) % 1_000_000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return F.coalesce(F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(at.isNotNull(), s)).otherwise(form), F.lit(""))

@@ -71,9 +71,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in the shared folder."""
-    _shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -90,3 +90,47 @@ def test_fuse_and_lanes(spark):
     lane = spark.createDataFrame([("q", "a", 1)], "qid string, id string, rank long")
     other = spark.createDataFrame([("q", "b", 1)], "qid string, id string, rank long")
     assert [r.id for r in fusion.fuse(lane, other, vector_weight=0).collect()] == ["a"]
+
+
+def test_shapes():
+    from cardloom.functions import shape
+
+    schema = {
+        "type": "object", "required": ["id", "kind"],
+        "properties": {"id": {"$ref": "#/defs/name"}, "kind": {"enum": ["a", "b"]}, "n": {"type": "integer", "minimum": 1, "maximum": 3}, "tags": {"type": "array", "maxItems": 2, "items": {"type": "string", "minLength": 2}}, "x": {"oneOf": [{"type": "number"}, {"type": ["integer", "null"]}]}, "y": {"anyOf": [{"const": 1}, {"type": "string"}]}},
+    }
+    of = lambda v: set(shape.violations(v, schema, {"name": {"type": "string", "maxLength": 3}}))
+    assert of({"id": "abc", "kind": "a", "n": 2, "tags": ["xx"], "x": None, "y": 1}) == set()
+    assert of({"id": "abcd", "n": True, "tags": ["x", "yy", 3], "x": 1, "y": 2}) == {("id", "maxLength"), ("kind", "required"), ("n", "type"), ("tags", "maxItems"), ("tags[0]", "minLength"), ("tags[2]", "type"), ("x", "oneOf"), ("y", "anyOf")}
+    assert of([]) == {("", "type")} and of({"id": "a", "kind": "c", "n": 9}) == {("kind", "enum"), ("n", "maximum")}
+
+
+def test_shapes_of_columns(spark):
+    from cardloom.functions import shape
+
+    df = spark.createDataFrame([('{"id": 1}',), ("{",), (None,), ('{"id": "x"}',)], "t string")
+    got = [[tuple(x) for x in r.v] for r in df.select(shape.broken(F.col("t"), {"properties": {"id": {"type": "string"}}}).alias("v")).collect()]
+    assert got == [[("id", "type")], [("", "json")], [], []]
+
+
+def test_candidates_and_upgrades(spark):
+    from cardloom.operators import reply_rows as replies
+
+    good = '{"candidates": [{"summary": " likes  tea ", "about": "Person", "occurred_at": "2025-01-02T03:04:05+01:00", "evidence": ""}, {"summary": "todo"}, "x"]}'
+    df = spark.createDataFrame([("a", good), ("b", '{"candidates": []}'), ("c", "no"), ("d", '{"candidates": [{"summary": "..."}]}'), ("e", '{"cards": []}')], "key string, raw string")
+    rows = {(r.key, r.place): r for r in replies.candidates_of_replies(df, strict=False).collect()}
+    assert set(rows) == {("a", 0), ("c", None), ("d", None), ("e", None)}
+    assert tuple(rows["a", 0])[3:] == ("person", "likes tea", None, "2025-01-02T02:04:05Z")
+    assert (rows["c", None].error, rows["d", None].error, rows["e", None].error) == ("no_json", "invalid_card_content_after_retry:summary_no_substantive_chars", "missing_candidates_list")
+    assert {r.key: r.error for r in replies.candidates_of_replies(df).collect() if r.error}["a"] == "invalid_card_content:summary_placeholder_word"
+    reply = '{"upgrades": [{"id": " m1 ", "summary": "猫", "content": "", "bucket": "Pets", "threads": ["x", "todo", 3]}, {"id": "m1", "summary": "again"}, {"id": "m2"}, {"id": "other", "summary": "s"}]}'
+    done, left = replies.upgrades_of_replies(spark.createDataFrame([("k", reply), ("j", None)], "key string, raw string"), spark.createDataFrame([("k", "m1"), ("k", "m2"), ("j", "m3")], "key string, id string"))
+    assert [(r.id, r.bucket, r.threads, r.summary) for r in done.collect()] == [("m1", "宠物", ["x", "3"], "猫")]
+    assert {(r.key, r.id) for r in left.collect()} == {("k", "m2"), ("j", "m3")}
+
+
+def test_canonical_times(spark):
+    from cardloom.functions.timeparse import canonical_time
+
+    cases = {"2025-01-02": "2025-01-02", " 2025-01-02T03:04:05+01:00": "2025-01-02T02:04:05Z", "2025-01-02 03:04:05.5": "2025-01-02T03:04:05.500000Z", "2025-13-01": "", "nonsense": "", "": ""}
+    assert {c: value(spark, canonical_time(F.lit(c))) for c in cases} == cases
