@@ -292,5 +292,6 @@ def replay(feed: DataFrame, batches: int = 3, path: str | None = None) -> Record
     span = (high - low + 1) / batches
     for k in range(batches):
         table.apply(feed.filter((F.col("feed_seq") >= int(low + k * span)) & (F.col("feed_seq") < (int(low + (k + 1) * span) if k + 1 < batches else high + 1))))
+        feed.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of a batch stay until the driver collects what refers to them
     return table
 
