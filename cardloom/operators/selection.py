@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from cardloom.functions import constants as C
 
 
-def seats(eligible: DataFrame, cap: int = C.CAP, turning: int = C.QUOTAS[0][1], recent: int = C.QUOTAS[1][1]) -> DataFrame:
+def seats(eligible: DataFrame, cap: int = C.CAP, turning: int = C.QUOTAS[0][1], recent: int = C.QUOTAS[1][1], larger_id_first: bool = False) -> DataFrame:
     """eligible: qid, id, score, rank, role, occurred_ts, created_ts (unique per qid and id). The seated, with bucket and final_rank.
 
     First up to `turning` cards of that role, the latest first; then up to `recent` of the others by creation; the rest by rank, `cap`
     in all. Seats say who is in; the order is that of rank. One exchange on qid serves all windows.
     """
     by = Window.partitionBy("qid")
+    last = F.desc("id") if larger_id_first else F.asc("id")
     df = eligible.repartition("qid")
     is_turning = F.coalesce(F.col("role") == "turning_point", F.lit(False))
-    t = F.row_number().over(by.orderBy(F.desc(is_turning.cast("int")), F.desc_nulls_last("occurred_ts"), F.asc("id")))
+    t = F.row_number().over(by.orderBy(F.desc(is_turning.cast("int")), F.desc_nulls_last("occurred_ts"), last))
     df = df.withColumn("t", is_turning & (t <= min(turning, cap)))
     df = df.withColumn("nt", F.sum(F.col("t").cast("int")).over(by))
-    r = F.row_number().over(by.orderBy(F.asc(F.col("t").cast("int")), F.desc_nulls_last("created_ts"), F.asc("id")))
+    r = F.row_number().over(by.orderBy(F.asc(F.col("t").cast("int")), F.desc_nulls_last("created_ts"), last))
     df = df.withColumn("r", ~F.col("t") & (r <= F.least(F.lit(recent), F.lit(cap) - F.col("nt"))))
     df = df.withColumn("nr", F.sum(F.col("r").cast("int")).over(by))
     q = F.row_number().over(by.orderBy(F.asc((F.col("t") | F.col("r")).cast("int")), F.asc("rank")))
@@ -30,6 +31,13 @@ def seats(eligible: DataFrame, cap: int = C.CAP, turning: int = C.QUOTAS[0][1],
     return out.withColumn("final_rank", F.row_number().over(by.orderBy("rank")).cast("long")).select("qid", "id", "bucket", "score", "final_rank")
 
 
+def soft_seats(eligible: DataFrame, cap: int = C.CAP) -> DataFrame:
+    """Seats where relevance gates every bucket: eligible as for `seats`, without rank. Quotas are soft, spare seats go to the best of the
+    rest; of cards that are alike the larger id comes first."""
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc_nulls_last("occurred_ts"), F.desc("id"))
+    return seats(eligible.withColumn("rank", F.row_number().over(order)), cap, larger_id_first=True)
+
+
 def top_by(cards: DataFrame, scope: str, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` cards of each scope in an order, with their rank."""
     rank = F.row_number().over(Window.partitionBy(scope).orderBy(*order))

@@ -8,7 +8,7 @@ from cardloom.functions import constants as C
 from cardloom.functions import labels as L
 from cardloom.functions import text as X
 from cardloom.operators import curation as K
-from cardloom.operators import lexical, lifecycle, maintenance, metrics, selection
+from cardloom.operators import evidence, lexical, lifecycle, maintenance, metrics, selection
 from cardloom.plans import memory
 from cardloom.plans.memory import _ASKED, _CARDS, _PLACEHOLDER, _SEATS, _TURNS, _bm25, active, asked, cards, query, turns
 from cardloom.sources.tables import table
@@ -357,4 +357,17 @@ def seed_counts(spark, sf):
     return rows.groupBy("mount").agg(F.count_if(F.col("op") != "promote").alias("written"), F.count_if(F.col("op") == "promote").alias("promoted"), F.count("*").alias("seeds"))
 
 
+_RELEVANT = memory._LEGACY.replace("SELECT qid, id, round(v[1], 4)", "el AS (SELECT qid, id, round(v[1], 4)").rstrip() + """),
+rk AS (SELECT el.qid, el.id, el.score, k.role, k.occurred_ts, k.created_ts, row_number() OVER (PARTITION BY el.qid ORDER BY el.score DESC, k.occurred_ts DESC NULLS LAST, el.id DESC) AS rank FROM el JOIN k ON k.id = el.id)"""
+_RELEVANT = _RELEVANT.replace("FROM n2)\nel AS", "FROM n2),\nel AS") + _SEATS.replace("NULLS LAST, id)", "NULLS LAST, id DESC)")
+
+
+@query(_RELEVANT + " SELECT qid, id, bucket, score, final_rank FROM seat")
+def relevant_quota(spark, sf):
+    """Seats among the cards that rule-based relevance lets pass."""
+    c = active(spark, sf)
+    found = evidence.relevance(asked(spark, sf), c).select("qid", "id", "score")
+    return selection.soft_seats(found.join(c.select("id", "role", "occurred_ts", "created_ts"), "id"))
+
+
 QUERIES, SQL = memory.QUERIES, memory.SQL
