@@ -322,8 +322,8 @@ def recall_by_stage(spark, sf):
     first = lexical.ranked(lexical.evaluate(asked_, c), c, 3).select("qid", "id", F.lit("relevance").alias("stage"))
     newest = selection.top_by(c.select("owner", "id", "created_ts"), "owner", [F.desc_nulls_last("created_ts"), F.asc("id")], 4)
     recent = asked_.select("qid", "owner").join(newest, "owner").join(first.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit("recent").alias("stage"))
-    found = first.unionAll(recent).join(asked_.select("qid", "bucket"), "qid").join(c.select("id", F.col("bucket").alias("its")), "id")
-    own, same = F.col("qid") == F.col("id"), F.coalesce(F.col("bucket") == F.col("its"), F.lit(False))
+    found = first.unionAll(recent).join(asked_.select("qid", "bucket"), "qid").join(c.select("id", F.col("bucket").alias("its"), "is_sensitive"), "id")
+    own, same = F.col("qid") == F.col("id"), F.coalesce(F.col("bucket") == F.col("its"), F.lit(False)) & ~F.coalesce("is_sensitive", F.lit(False))
     return found.groupBy("stage").agg(F.count("*").alias("shown"), F.count_if(own).alias("must"), F.count_if(~own & same).alias("should"))
 
 

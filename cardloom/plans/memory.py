@@ -583,10 +583,22 @@ def garden_signature(spark, sf):
     return maintenance.shapes(cards(spark, sf))
 
 
-@query(_SHAPES + " SELECT scope, CASE WHEN card_count <= 0 THEN 'no_memory_cards' WHEN seed_count < 10 THEN 'not_enough_new_cards' ELSE 'due' END AS reason, seed_count AS new_cards, 'dream:' || substr(sha256('|' || signature || '|' || seed_count), 1, 32) AS key FROM g")
+_BEFORE = _SHAPES[_SHAPES.index("b AS (SELECT owner AS scope") :].replace("b AS (SELECT owner", "b2 AS (SELECT owner", 1).replace("FROM k GROUP BY ALL", "FROM k WHERE NOT coalesce(archived, false) GROUP BY ALL").replace("g AS (SELECT scope", "g2 AS (SELECT scope").replace("FROM b GROUP BY scope", "FROM b2 GROUP BY scope")
+
+
+@query(
+    _SHAPES
+    + ", "
+    + _BEFORE
+    + """, j AS (SELECT g.*, coalesce(g2.signature, '') AS last, greatest(0, g.seed_count - greatest(0, coalesce(g2.seed_count, 0))) AS new_cards FROM g LEFT JOIN g2 USING (scope))
+SELECT scope, CASE WHEN card_count <= 0 THEN 'no_memory_cards' WHEN last <> '' AND last = signature THEN 'already_dreamed' WHEN new_cards < 10 THEN 'not_enough_new_cards' ELSE 'due' END AS reason, new_cards,
+  'dream:' || substr(sha256(last || '|' || signature || '|' || seed_count), 1, 32) AS key FROM j"""
+)
 def maintenance_verdict(spark, sf):
-    ledger = spark.createDataFrame([], "scope string, last_signature string, last_seed_count bigint")
-    return maintenance.verdicts(maintenance.shapes(cards(spark, sf)), ledger)
+    """Which gardens are due, against a ledger of the last run: what they were before the cards that are archived now came."""
+    c = cards(spark, sf)
+    before = maintenance.shapes(c.filter(~F.coalesce("archived", F.lit(False))))
+    return maintenance.verdicts(maintenance.shapes(c), before.select("scope", F.col("signature").alias("last_signature"), F.col("seed_count").alias("last_seed_count")))
 
 
 def _backlog(spark, sf) -> DataFrame:
@@ -701,15 +713,18 @@ def mutation_validation(spark, sf):
 
 
 def _judged(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Results of a search by summary in the owner's garden; truth: the card itself, and as 'should' the others of its bucket."""
+    """Results of a search by summary in the owner's garden; truth: the card itself, as 'should' the others of its bucket, and as
+    'must_not' sensitive ones. A card without summary should find nothing."""
     c = active(spark, sf)
     asked_ = c.filter("role = 'turning_point'").select(F.col("id").alias("qid"), "owner", F.col("summary").alias("text"), "bucket")
     results = lexical.ranked(lexical.evaluate(asked_, c), c, 8).select("qid", "id", "rank")
     must = asked_.select("qid", F.col("qid").alias("id"), F.lit("must").alias("label"))
     # Of the others only those that were found count: labels are given to results, no bucket is paired with itself.
-    found = results.join(asked_.select("qid", "bucket"), "qid").join(c.select("id", F.col("bucket").alias("its")), "id")
-    should = found.filter("qid <> id and bucket = its").select("qid", "id", F.lit("should").alias("label"))
-    return results, must.unionByName(should), asked_.select("qid", F.lit(False).alias("expect_empty"), F.coalesce("bucket", F.lit("")).alias("category"))
+    found = results.join(asked_.select("qid", "bucket"), "qid").join(c.select("id", F.col("bucket").alias("its"), "is_sensitive"), "id")
+    label = F.when(F.coalesce("is_sensitive", F.lit(False)), "must_not").when(F.col("bucket") == F.col("its"), "should")
+    others = found.filter("qid <> id").select("qid", "id", label.alias("label")).filter("label is not null")
+    blank = X.strip(F.coalesce("text", F.lit(""))) == ""
+    return results, must.unionByName(others), asked_.select("qid", blank.alias("expect_empty"), F.coalesce("bucket", F.lit("")).alias("category"))
 
 
 _JUDGED = (
@@ -717,12 +732,12 @@ _JUDGED = (
     + _bm25().replace("q AS (SELECT cid AS qid, any_value(owner) AS owner", "q0 AS (SELECT cid AS qid, any_value(owner) AS owner").replace(
         "pool AS (SELECT * FROM k", "q AS (SELECT id AS qid, owner, summary AS text, bucket FROM k WHERE state = 'active' AND role = 'turning_point'),\npool AS (SELECT * FROM k", 1
     )
-    + """, tr AS (SELECT qid, qid AS id, 'must' AS label FROM q UNION ALL SELECT q.qid, k.id, 'should' FROM q JOIN k ON k.owner = q.owner AND k.bucket = q.bucket AND k.state = 'active' AND k.id <> q.qid),
+    + """, tr AS (SELECT qid, qid AS id, 'must' AS label FROM q UNION ALL SELECT q.qid, k.id, CASE WHEN coalesce(k.is_sensitive, false) THEN 'must_not' ELSE 'should' END FROM q JOIN k ON k.owner = q.owner AND (k.bucket = q.bucket OR coalesce(k.is_sensitive, false)) AND k.state = 'active' AND k.id <> q.qid),
 j AS (SELECT rk.qid, rk.rank, tr.label FROM rk LEFT JOIN tr ON tr.qid = rk.qid AND tr.id = rk.id WHERE rk.rank <= 8),
 a AS (SELECT qid, count(*) AS returned, count(*) FILTER (label = 'must' AND rank <= 5) AS got, count(*) FILTER (label IN ('must', 'should') AND rank <= 3) AS good, count(*) FILTER (rank <= 3) AS shown,
-  min(rank) FILTER (label = 'must') AS first FROM j GROUP BY qid),
+  min(rank) FILTER (label = 'must') AS first, count(*) FILTER (label = 'must_not') AS bad FROM j GROUP BY qid),
 e AS (SELECT q.qid, coalesce(q.bucket, '') AS category, round(coalesce(got, 0) / 1.0::DOUBLE, 6) AS recall, round(CASE WHEN coalesce(shown, 0) > 0 THEN good / shown::DOUBLE END, 6) AS precision,
-  round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal_rank, 0::BIGINT AS violations, false AS right_empty, coalesce(returned, 0) = 0 AS false_empty FROM q LEFT JOIN a USING (qid))"""
+  round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal_rank, coalesce(bad, 0) AS violations, trim(coalesce(q.text, '')) = '' AND coalesce(returned, 0) = 0 AS right_empty, coalesce(returned, 0) = 0 AS false_empty FROM q LEFT JOIN a USING (qid))"""
 )
 
 
