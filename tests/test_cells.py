@@ -67,7 +67,7 @@ def shuffled(spark, df):
     return n, sum(v for k, v in stages().items() if k not in before)
 
 
-CROWDED = ("chain_stages",)
+CROWDED = ("chain_stages", "bm25_gated")
 
 
 @pytest.mark.parametrize("name", CROWDED)
