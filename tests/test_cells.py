@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cardloom.operators import lexical, selection
+from cardloom.operators import evidence, lexical, selection
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,20 @@ def test_blocks_lose_nothing(made, monkeypatch):
     assert rows(selection.seats(found), "qid", "id", "bucket", "final_rank") == seats and rows(n, "qid", "scope", "pairs", "found") == counts
 
 
+def test_blocks_of_relevance(made, monkeypatch):
+    q, c = made
+    text = F.concat_ws(" ", F.regexp_replace("text", "w1", "代码今天猫咪 w1"), F.lit("memory"))
+    q, c = q.withColumn("text", text), c.withColumn("text", text)
+    every = evidence.relevance(q, c, passing=False).filter("score >= 0.35 and confidence in ('strong', 'medium') and reason <> 'rare_term_with_support'")  # single characters count there
+    whole = rows(evidence.relevance(q, c), "qid", "id", "score", "reason")
+    assert whole and {x for x in whole if x[3].endswith("phrase_match") or x[3] == "multiple_rare_terms"} == {tuple(r) for r in every.select("qid", "id", "score", "reason").collect() if r.reason.endswith("phrase_match") or r.reason == "multiple_rare_terms"}
+    seats = rows(selection.soft_seats(evidence.relevance(q, c).join(c.select("id", "role", "occurred_ts", "created_ts"), "id")), "qid", "id", "bucket", "final_rank")
+    monkeypatch.setattr(evidence, "CARD_BLOCK", 7)
+    monkeypatch.setattr(evidence, "ASK_BLOCK", 4)
+    assert rows(evidence.relevance(q, c), "qid", "id", "score", "reason") == whole
+    assert rows(selection.soft_seats(evidence.passed(q, c, keep=("occurred_ts", "created_ts", "role"))), "qid", "id", "bucket", "final_rank") == seats
+
+
 @pytest.fixture(scope="module")
 def crowd(spark, data, tmp_path_factory):
     """300 queries and 300 cards of one owner that share a word: 90,000 pairs."""
@@ -67,7 +81,7 @@ def shuffled(spark, df):
     return n, sum(v for k, v in stages().items() if k not in before)
 
 
-CROWDED = ("chain_stages", "bm25_gated", "bm25_gated_scaled", "select_quota", "injection_histogram", "bm25_topk", "import_index", "bm25_small_pool", "index_ranker", "retrieval_metrics", "metrics_by_category", "recall_by_stage", "injection_record", "small_pool_grid")
+CROWDED = ("chain_stages", "bm25_gated", "bm25_gated_scaled", "select_quota", "injection_histogram", "bm25_topk", "import_index", "bm25_small_pool", "index_ranker", "retrieval_metrics", "metrics_by_category", "recall_by_stage", "injection_record", "small_pool_grid", "legacy_relevance")
 
 
 @pytest.mark.parametrize("name", CROWDED)
