@@ -81,7 +81,7 @@ def shuffled(spark, df):
     return n, sum(v for k, v in stages().items() if k not in before)
 
 
-CROWDED = ("chain_stages", "bm25_gated", "bm25_gated_scaled", "select_quota", "injection_histogram", "bm25_topk", "import_index", "bm25_small_pool", "index_ranker", "retrieval_metrics", "metrics_by_category", "recall_by_stage", "injection_record", "small_pool_grid", "legacy_relevance")
+CROWDED = ("chain_stages", "bm25_gated", "bm25_gated_scaled", "select_quota", "injection_histogram", "bm25_topk", "import_index", "bm25_small_pool", "index_ranker", "retrieval_metrics", "metrics_by_category", "recall_by_stage", "injection_record", "small_pool_grid", "legacy_relevance", "relevant_quota")
 
 
 @pytest.mark.parametrize("name", CROWDED)
