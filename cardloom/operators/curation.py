@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import constants as C
 from cardloom.functions.text import collapse, strip
+from cardloom.operators import cells
+from cardloom.session import written
 
 #: Characters of Chinese that make no topic by themselves, single ones that do, and words too general for one.
 WEAK_TOPIC_CHARS = "我你他她它的是了在和就都不吗呢啊吧这那什么怎么一个有没给要说想看喜欢记得知道"
@@ -34,19 +42,77 @@ def topic_terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, han, single))
 
 
+_TOPIC_RUN = re.compile("[a-z0-9_]{3,}|[一-鿿]+")
+#: Cards and queries of a cell, at most about.
+CARD_BLOCK, ASK_BLOCK = 10_000, 2_000
+
+
+def _head(term: str) -> str:
+    """The first characters of a term: two of a Chinese run, three of a word."""
+    return term[:2] if "一" <= term[0] <= "鿿" else term[:3]
+
+
+def _heads(run: str) -> set[str]:
+    """The heads of all terms that can stand in a run."""
+    han = "一" <= run[0] <= "鿿"
+    size = 2 if han else 3
+    return {run[k : k + size] for k in range(len(run) - size + 1)} | ({c for c in CONCRETE if c in run} if han else set())
+
+
 def topic_matches(queries: DataFrame, cards: DataFrame, scope: str = "owner") -> DataFrame:
     """(qid, id) of a scope where a topic term of the query stands anywhere in the card, as a substring.
 
-    queries: qid, scope, text; cards: scope, id, text. Both sides meet in the first characters of a term (three of a word, two of a
-    Chinese run, one of a single character), then the whole term is looked for; no pair without such characters is made.
+    queries: qid, scope, text; cards: scope, id, text. Both are unique in their scope, or count once. A term has characters of one kind, so
+    it stands in a card if it stands in one of its runs of that kind: terms are looked for in the distinct runs of a cell's cards (those with
+    the term's first characters), and only what matches leaves the cell (operators/cells.py): pairs are not shuffled.
     """
-    head = lambda t: F.when(t.rlike("^[一-鿿]"), F.substring(t, 1, 2)).otherwise(F.substring(t, 1, 3))
-    asked = queries.select("qid", F.col(scope).alias("scope_"), F.explode(topic_terms(F.col("text"))).alias("term")).withColumn("head", head(F.col("term")))
-    low = F.lower(F.coalesce("text", F.lit("")))
-    every = lambda p: F.regexp_extract_all(low, F.lit(p), 1)
-    heads = F.array_distinct(F.concat(every("(?=([a-z0-9_]{3}))"), every("(?=([一-鿿]{2}))"), F.filter(every("([一-鿿])"), lambda c: c.isin(*CONCRETE))))
-    held = cards.filter("id is not null").select(F.col(scope).alias("scope_"), "id", low.alias("low_"), F.explode(heads).alias("head"))
-    return asked.join(held, ["scope_", "head"]).filter(F.contains("low_", "term")).select("qid", "id").distinct()
+    kinds = dict(cards.dtypes)
+    held = written(cards.filter("id is not null").select(F.col(scope).alias("scope"), "id", F.lower(F.coalesce("text", F.lit(""))).alias("low")), "texts")
+    asked = written(queries.select(F.col(scope).alias("scope"), "qid", topic_terms(F.col("text")).alias("terms")), "asked")
+
+    def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        is_query = pc.is_null(rows["id"])
+        texts, asks = rows.filter(pc.invert(is_query)), rows.filter(is_query)
+        if not len(texts) or not len(asks):
+            return
+        ids, qids = (cells.whole(x).dictionary_encode() for x in (texts["id"], asks["qid"]))
+        sought: dict[int | None, set[str]] = defaultdict(set)
+        for q, found in zip(qids.indices.to_pylist(), asks["terms"].to_pylist()):
+            sought[q].update(found or ())
+        heads = {_head(t) for found in sought.values() for t in found}
+        places: dict[str, list[int]] = defaultdict(list)
+        for card, low in zip(ids.indices.to_pylist(), texts["low"].to_pylist()):
+            for run in set(_TOPIC_RUN.findall(low)):
+                places[run].append(card)
+        runs: dict[str, list[str]] = defaultdict(list)
+        for run in places:
+            for h in _heads(run) & heads:
+                runs[h].append(run)
+        of: dict[str, np.ndarray] = {}
+        out: list[tuple[int, np.ndarray]] = []
+        waiting = 0
+
+        def batch() -> pa.RecordBatch:
+            at, ix = np.repeat([q for q, _ in out], [len(x) for _, x in out]).astype(np.int64), np.concatenate([x for _, x in out])
+            arrays = [qids.dictionary.take(pa.array(at, mask=at < 0)), ids.dictionary.take(pa.array(ix))]
+            return pa.RecordBatch.from_arrays([cells.whole(x) for x in arrays], names=["qid", "id"])
+
+        for q, found in sought.items():
+            hit = np.zeros(len(ids.dictionary), bool)
+            for t in found:
+                if (its := of.get(t)) is None:
+                    its = of[t] = np.fromiter({c for run in runs.get(_head(t), ()) if t in run for c in places[run]}, np.int32)
+                hit[its] = True
+            if len(ix := np.flatnonzero(hit)):
+                out.append((-1 if q is None else q, ix))
+                waiting += len(ix)
+            if waiting >= cells.OUT_ROWS:
+                yield batch()
+                out, waiting = [], 0
+        if out:
+            yield batch()
+
+    return cells.meet(held, asked, CARD_BLOCK, ASK_BLOCK, cell, f"`qid` {dict(queries.dtypes)['qid']}, `id` {kinds['id']}")
 
 
 def checked_targets(proposed: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cardloom.operators import evidence, lexical, selection
+from cardloom.operators import curation, evidence, lexical, selection
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,26 @@ CROWDED = ("chain_stages", "bm25_gated", "bm25_gated_scaled", "select_quota", "i
 def test_pairs_are_not_shuffled(spark, crowd, name):
     n, moved = shuffled(spark, lambda: entry.queries()[name](spark, crowd))
     assert n and moved < 45_000
+
+
+def test_topics_are_not_shuffled(spark, crowd):
+    n, moved = shuffled(spark, lambda: entry.queries()["topic_match"](spark, crowd))
+    assert n == 90_000 and moved < 45_000
+
+
+def test_blocks_of_topics(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["bicycle", "motorbicycles", "tea", "steam", "code", "猫", "猫咪不吃饭", "邻居的猫咪", "喜欢", "Straße_9", "a b"]
+    text = lambda n: rng.choice([" ", "", "、"]).join(rng.choices(words, k=n))
+    asks, cards = ([(f"{p}{k:03d}", rng.choice("aab"), text(n)) for k in range(60)] for p, n in (("q", 1), ("c", 2)))
+    q = spark.createDataFrame([*asks, asks[0], (None, "a", "bicycle"), ("z", None, "tea")], "qid string, owner string, text string")
+    c = spark.createDataFrame([*cards, cards[0], ("n", "a", None), (None, "a", "tea"), ("y", None, "tea")], "id string, owner string, text string")
+    terms = {r.qid: (r.owner, r.t) for r in q.filter("owner is not null").select("qid", "owner", curation.topic_terms(F.col("text")).alias("t")).collect()}
+    low = c.filter("id is not null and text is not null").selectExpr("id", "owner", "lower(text) low").collect()
+    want = {(qid, r.id) for qid, (o, ts) in terms.items() for r in low if r.owner == o and any(t in r.low for t in ts)}
+    got = curation.topic_matches(q, c).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+    monkeypatch.setattr(curation, "CARD_BLOCK", 7)
+    monkeypatch.setattr(curation, "ASK_BLOCK", 4)
+    got = curation.topic_matches(q, c).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
