@@ -84,6 +84,12 @@ _CUES = {
 }
 _CUE = {k: re.compile(v, re.I) for k, v in _CUES.items()}
 _PERSON_BEFORE = re.compile(rf"(?:{_CUES['person']})[,:]? *$", re.I)
+#: The last two characters of each cue of a person.
+_PERSON_ENDS = {
+    x[-2:]
+    for cue in _CUES["person"].replace(r"\b", "").replace(r"\.", ".").split("|")
+    for x in ([cue[:-1], cue[:-2]] if cue.endswith("a?") else [cue[:-4] + "a", cue[:-4] + "o"] if cue.endswith("[ao]") else [cue])
+}
 _CUES_OF = {"email": (), "phone": ("phone", "id", "not"), "id_number": ("phone", "id", "not"), "address": ("place",)}
 #: Characters that end common words before a Chinese given name, and so are no surname there.
 _ZH_NOT_SURNAME = set("居向姐弟妹哥和与跟同为后前天候早午晚间二上下时右左底里因表邻又很了的以还清再都口才给让请是事友师对从在被把人生到去找叫及或这那有她他我你们点半日月年周末夏春秋冬中")
@@ -188,6 +194,14 @@ def _addresses(text: str) -> Iterator[tuple[str, re.Match]]:
             yield from ((es, hit) for hit in fourth.finditer(text, max(0, at - 60), min(len(text), m.end() + 2)) if hit.start() < at < hit.end())
 
 
+def _person_before(before: str) -> bool:
+    """Whether a cue of a person ends `before`. Its last letters rule that out at once for most words; others than ASCII are left to the pattern."""
+    end = before.rstrip(" \n,:")[-2:]
+    if len(end) == 2 and end.isascii() and end.lower() not in _PERSON_ENDS:
+        return False
+    return _PERSON_BEFORE.search(before) is not None
+
+
 def _candidates(text: str, lex: Lexicon) -> list[tuple[int, int, str, tuple[str, ...]]]:
     """(start, end, kind, features) of every candidate segment."""
     found: list[tuple[int, int, str, list[str]]] = []
@@ -241,10 +255,10 @@ def _candidates(text: str, lex: Lexicon) -> list[tuple[int, int, str, tuple[str,
     caseless = text == text.lower()
     for m in re.finditer(rf"(?<![\w'’-]){_W}", text) if caseless else _TOKEN.finditer(text):
         word = m.group()
-        known = word in lex.given or word.lower() in lex.low and (caseless or word.isupper())
+        known = word in lex.given or (caseless or word.isupper()) and word.lower() in lex.low
         if not known:
             before = text[max(0, m.start() - 16) : m.start()]
-            if caseless or not _PERSON_BEFORE.search(before):
+            if caseless or not _person_before(before):
                 continue
         n = (_AFTER_GIVEN_LOW if caseless else _AFTER_GIVEN).match(text, m.end())
         if not n:
@@ -267,7 +281,7 @@ def _candidates(text: str, lex: Lexicon) -> list[tuple[int, int, str, tuple[str,
         before = text[max(0, s - 30) : s]
         before = before[max(before.rfind("\n"), before.rfind("。")) + 1 :]
         if kind == "name":
-            cues = ["cue_person"] if "grammar" not in feats and _PERSON_BEFORE.search(before) else []
+            cues = ["cue_person"] if "grammar" not in feats and _person_before(before) else []
         else:
             cues = [f"cue_{k}" for k in _CUES_OF[kind] if _CUE[k].search(before)]
         after = text[e : e + 14]

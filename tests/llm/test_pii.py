@@ -80,3 +80,23 @@ def test_long_addresses_are_found_whole():
     lex, w = pii.Lexicon({"Anna"}), pii.weights()
     assert 90 < len(address) <= pii.MOST_CHARS
     assert [f"write to {address} soon"[s:e] for s, e, _ in pii.find(f"write to {address} soon", lex, w)] == [address]
+
+
+def test_few_words_are_searched_for_cues(monkeypatch):
+    import itertools
+    import re
+
+    shape = pii._PERSON_BEFORE
+    said = ["dr.", "Dr", "MRS.", "signed by", "Herr", "señor", "señora", "caser", "casera", "firmó", "llamada a", "amiga", "AMIGO", "联系人", "名叫", "the", "red", "by", "r", "", "Kipra", "mſ.", "docteur"]
+    for a, b in itertools.product(said, ["", " ", ", ", ":", " \n", "\n", "  ", "; ", ",: ", "\t"]):
+        assert pii._person_before(f"x {a}{b}"[-16:]) == bool(shape.search(f"x {a}{b}"[-16:])), (a, b)
+    seen = []
+
+    class Counting:
+        def search(self, text):
+            seen.append(text)
+            return re.Pattern.search(shape, text)
+
+    monkeypatch.setattr(pii, "_PERSON_BEFORE", Counting())
+    pii._candidates("Signed by Wilma Moss. " + "The Old Mill at Kipside was Long Gone. " * 50, pii.Lexicon({"Anna"}))
+    assert 1 <= len(seen) < 50
