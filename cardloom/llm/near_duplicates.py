@@ -2,20 +2,24 @@
 
 A text is its set of words. Its fingerprint has 143 bits: each word flips one. Two fingerprints differ in at most as many
 bits as the sets differ in words, so a pair of similarity t and sizes a, b lies within (1 - t) / (1 + t) * (a + b) bits: the search
-radius, at which no pair is lost. Fingerprints meet in shards, one for each of BANDS keys of least hashed words, so that a text
-is in several shards and those of neighbours overlap (a pair at similarity 0.7 shares no shard with probability 4e-5, a closer one with
-less). Every shard of two texts or more is a vantage-point tree: its fingerprints are parted by their Hamming distance to a vantage
-point, the triangle inequality prunes, and only the rims on both sides of a boundary are compared across it. What remains is compared
-exactly, word by word. A shard that is larger than SHARD_ROWS is cut into blocks, and each two blocks meet in a task of their own; which
-shards are that large is told by a sample of the sets, and only how the work is dealt out depends on it.
-
-What is shuffled for a text and shard is four numbers: (shard, size, 15 bits), twice 64 bits, and the set's 64-bit digest.
+radius, at which no pair is lost. Fingerprints meet in shards, one for each of many keys (bands) of least hashed words, so that a text
+is in several shards and those of neighbours overlap (a pair at the wanted similarity shares no shard with probability MISSED, a closer one
+with less). The more sets there are, the more words make a key and the more keys there are (`plan`): shards of unrelated texts stay small,
+and MISSED is the same. Every shard of two texts or more is a vantage-point tree: its fingerprints are parted by their Hamming distance to
+a vantage point, the triangle inequality prunes, and only the rims on both sides of a boundary are compared across it. What remains is
+compared exactly, word by word. A shard that is larger than SHARD_ROWS is cut into blocks, and each two blocks meet in a shard of their own;
+which shards are that large is told by a sample of the sets, and only how the work is dealt out depends on it.
+
+What is shuffled for a text and shard is a record of 32 bytes: key, size and 15 bits, twice 64 bits, and the set's 64-bit digest. Records
+travel in blobs, one for each bucket of keys, and in rounds of at most AT_ONCE bands, so that the shuffle files of one round are there at a time.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,11 @@ from pyspark.sql import functions as F
 
 from cardloom.session import written
 
-BANDS, ROWS = 24, 3
+MISSED = 4.2e-5
+#: So many words make a key; another one from each of these numbers of sets on.
+ROWS, MORE = 4, (700_000, 6_000_000, 22_000_000)
+#: Bands of a round, and records of a bucket.
+AT_ONCE, BUCKET = 13, 50_000
 SHARD_ROWS = 200_000
 #: One in so many sets is counted to find large shards.
 COUNTED = 64
@@ -38,6 +46,9 @@ _HIGH[-1] = np.inf
 _FAR, _WIDE, _PAIRS = (1 << 20) - 1, 1 << 20, 1 << 20
 #: Ids with one and the same set of words are paired in blocks of so many.
 COPIES = 1000
+#: Words whose least hashes are found at once.
+_WORDS = 150_000
+_RECORD = np.dtype([("key", "<u4"), ("g", "<i4"), ("f", "<u8"), ("e", "<u8"), ("d", "<i8")])
 _WORD = re.compile(r"[一-鿿㐀-䶿]|[^\W_一-鿿㐀-䶿]+")
 _REMEMBERED = 150_000
 
@@ -53,54 +64,50 @@ def _size_code(n: np.ndarray) -> np.ndarray:
     return np.where(n < _EXACT, n, np.minimum(large, 2 * _EXACT - 1))
 
 
+def plan(sets: int, least: float) -> tuple[int, int]:
+    """Words of a key and number of bands for so many sets: a pair at similarity `least` is in no common shard with probability MISSED."""
+    rows = ROWS + sum(sets > n for n in MORE)
+    return rows, math.ceil(math.log(MISSED) / math.log1p(-min(least**rows, 1 - 1e-9)))
+
+
+class _Index(dict):
+    """Words to their numbers; an unknown one gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Hasher:
-    """Words to 64-bit hashes and least-hash rows, remembered by a worker."""
+    """Words to 64-bit hashes, remembered by a worker."""
 
     def __init__(self) -> None:
-        rng = np.random.default_rng(7)
-        self.a = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-        self.b = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-        self.mix = rng.integers(1, 2**63, (3, ROWS), dtype=np.uint64)[0] | np.uint64(1)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.hash = np.empty(4096, dtype=np.uint64)
-        self.rows = np.empty((4096, BANDS * ROWS), dtype=np.uint32)
 
     def lookup(self, found: list[str]) -> np.ndarray:
-        index = self.index
-        new = [w for w in dict.fromkeys(found) if w not in index]
-        if new:
-            first = len(index)
-            while first + len(new) > len(self.hash):
+        first = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, found), dtype=np.int64, count=len(found))
+        if len(self.index) > first:
+            while len(self.index) > len(self.hash):
                 self.hash = np.concatenate([self.hash, np.empty_like(self.hash)])
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            h = np.array([xxhash.xxh64_intdigest(w) for w in new], dtype=np.uint64)
-            self.hash[first : first + len(new)] = h
-            self.rows[first : first + len(new)] = ((h[:, None] * self.a + self.b) >> np.uint64(32)).astype(np.uint32)
-            index.update(zip(new, range(first, first + len(new))))
-        return np.fromiter(map(index.__getitem__, found), dtype=np.int64, count=len(found))
+            self.hash[first : len(self.index)] = [xxhash.xxh64_intdigest(w) for w in islice(self.index, first, None)]
+        return self.hash[at]
 
 
 _hasher = _Hasher()
 
 
-def _sketch(texts: list[str]) -> dict[str, np.ndarray]:
-    """For each text: offsets and hashes of its distinct words, digests, fingerprint and shard keys. Texts have at least one word."""
+def _sketch(lists: list[set[str]]) -> dict[str, np.ndarray]:
+    """For each set of words, none of them empty: size, digest and fingerprint; the hashes of all in a row."""
     if len(_hasher.index) > _REMEMBERED:
         _hasher.clear()
-    lists = [words(t) for t in texts]
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = _hasher.lookup([w for x in lists for w in x])
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    pair = np.unique(owner << 32 | flat)
-    owner, flat = pair >> 32, pair & 0xFFFFFFFF
-    count = np.bincount(owner, minlength=len(lists))
-    start = np.concatenate([[0], np.cumsum(count)[:-1]])
-    h = _hasher.hash[flat]
-    least = np.minimum.reduceat(_hasher.rows[flat], start, axis=0).astype(np.uint64)
-    keys = ((least.reshape(len(lists), BANDS, ROWS) * _hasher.mix).sum(axis=2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    count = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    start = np.cumsum(count) - count
+    h = _hasher.lookup([w for x in lists for w in x])
     bit = (h >> np.uint64(40)) % np.uint64(143)
     flip = np.uint64(1) << (bit & np.uint64(63))
     third = lambda k: np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), start)
@@ -111,12 +118,11 @@ def _sketch(texts: list[str]) -> dict[str, np.ndarray]:
         "f1": third(0),
         "f2": third(1),
         "f3": third(2),
-        "keys": keys,
     }
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """texts: id, text. (id, d, words, f, e, g, keys) of the texts with words.
+    """texts: id, text. (id, d, words, f, e, g) of the texts with words.
 
     The digest d stands for the word set: of n different sets, n * n / 2^65 pairs are expected to share one. f and e
     have 64 bits each of the fingerprint, g the size and the other 15.
@@ -126,20 +132,63 @@ def sketches(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
-                text = part.column(1).to_pylist()
-                keep = [k for k, t in enumerate(text) if t and _WORD.search(t.lower())]
+                lists = [set(words(t)) if t else () for t in part.column(1).to_pylist()]
+                keep = [k for k, x in enumerate(lists) if x]
                 if not keep:
                     continue
-                s = _sketch([text[k] for k in keep])
+                s = _sketch([lists[k] for k in keep])
                 long = lambda x: pa.array(x.astype(np.int64))
                 ends = np.concatenate([[0], np.cumsum(s["count"])]).astype(np.int32)
-                keyed = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), pa.array(s["keys"].reshape(-1).astype(np.uint32).view(np.int32)))
                 g = pa.array((_size_code(s["count"]) << 15 | s["f3"].astype(np.int64)).astype(np.int32))
-                arrays = [part.column(0).take(pa.array(keep)), long(s["d1"]), pa.ListArray.from_arrays(pa.array(ends), long(s["hashes"])), long(s["f1"]), long(s["f2"]), g, keyed]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "d", "words", "f", "e", "g", "keys"])
+                arrays = [part.column(0).take(pa.array(keep)), long(s["d1"]), pa.ListArray.from_arrays(pa.array(ends), long(s["hashes"])), long(s["f1"]), long(s["f2"]), g]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "d", "words", "f", "e", "g"])
 
     kind = dict(texts.dtypes)["id"]
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, d bigint, words array<bigint>, f bigint, e bigint, g int, keys array<int>")
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, d bigint, words array<bigint>, f bigint, e bigint, g int")
+
+
+class _Bands:
+    """Shard keys of word sets: those of the bands from `first` on, before `last`, each of the least of `rows` hashes of the words."""
+
+    def __init__(self, first: int, last: int, rows: int):
+        drawn = np.random.default_rng(7).integers(0, 2**63, (last, 2, rows), dtype=np.uint64)[first:]  # a band's are the same in any round
+        a, b = drawn[:, 0], drawn[:, 1]
+        self.a, self.b, self.shape = a.reshape(-1) | np.uint64(1), b.reshape(-1), (last - first, rows)
+        self.mix = np.random.default_rng(8).integers(0, 2**63, rows, dtype=np.uint64) | np.uint64(1)
+        self.salt = np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+    def least(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Least hashes of the sets, whose words' hashes end at `ends`."""
+        known, at = np.unique(h, return_inverse=True)
+        table = np.empty((len(known), len(self.a)), dtype=np.uint32)
+        for k in range(0, len(known), 4096):
+            table[k : k + 4096] = (known[k : k + 4096, None] * self.a + self.b) >> np.uint64(32)
+        out, start = np.empty((len(ends), len(self.a)), dtype=np.uint32), 0
+        for k, end in enumerate(ends.tolist()):
+            table.take(at[start:end], axis=0).min(axis=0, out=out[k])
+            start = end
+        return out
+
+    def keys(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(sets, bands) of 32 bits."""
+        out, first, start = np.empty((len(ends), self.shape[0]), dtype=np.uint32), 0, 0
+        while first < len(ends):  # so many sets that the table of their words stays small
+            last = max(first + 1, int(np.searchsorted(ends, start + _WORDS, side="right")))
+            cuts = range(start, int(ends[last - 1]), _WORDS) if last == first + 1 else [start]
+            least = [self.least(h[c : c + _WORDS], np.minimum(ends[first:last] - c, _WORDS)) if len(cuts) > 1 else self.least(h[c : ends[last - 1]], ends[first:last] - c) for c in cuts]
+            low = np.minimum.reduce(least).reshape(last - first, *self.shape)
+            mixed = np.broadcast_to(self.salt, low.shape[:2]).copy()
+            for r in range(self.shape[1]):
+                mixed += low[:, :, r] * self.mix[r]
+            out[first:last] = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            first, start = last, int(ends[last - 1])
+        return out
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and where each row's end."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].view(np.uint64), ends[1:] - ends[0]
 
 
 class _Forest:
@@ -171,6 +220,12 @@ class _Forest:
             self.right.append(b[ok])
         return d
 
+    def across(self, a: np.ndarray, b: np.ndarray) -> None:
+        """As `near`, of which those pairs are kept whose first 64 bits alone allow it."""
+        ok = np.flatnonzero(np.bitwise_count(self.f1[a] ^ self.f1[b]) <= self.reach[a] + self.reach[b] + 1e-6)
+        self.compared += len(a) - len(ok)
+        self.near(a[ok], b[ok])
+
     def search(self, shard: np.ndarray) -> None:
         """All near pairs of rows with one value of `shard`, which is sorted.
 
@@ -215,89 +270,143 @@ class _Forest:
                 a = np.repeat(at[inner[k:upto]], m)
                 b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[k:upto], m)
                 if len(a):
-                    self.near(a, at[b])
+                    self.across(a, at[b])
                 k = upto
             node = which * 2 + outside
             node = np.cumsum(np.concatenate([[0], (node[1:] != node[:-1]).astype(np.int64)])) if len(node) else node
 
 
-def _search(shards: DataFrame, least: float) -> DataFrame:
-    """shards: a (shard, size, 15 bits), f, e, d, and i, j, side where blocks of large shards meet; sorted by shard within partitions.
+def _records(sets: DataFrame, bands: _Bands, buckets: int, large: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(bucket, rows): the records of the sets for each band, in blobs. large: sorted keys of large shards, and their numbers of blocks."""
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        d = batch.column("d").to_numpy()
+        once = np.unique(d, return_index=True)[1]
+        if len(once) < len(d):
+            batch = batch.take(pa.array(once))
+        out = np.empty((batch.num_rows, bands.shape[0]), dtype=_RECORD)
+        out["key"] = bands.keys(*_lists(batch.column("words")))
+        for n in ("g", "f", "e", "d"):
+            out[n] = batch.column(n).to_numpy().view(_RECORD[n])[:, None]
+        out = out.reshape(-1)
+        if not len(large[0]):
+            return out
+        at = np.minimum(np.searchsorted(large[0], out["key"]), len(large[0]) - 1)
+        cut = large[0][at] == out["key"]
+        apart, blocks = out[cut], large[1][at[cut]]
+        side = (apart["d"].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
+        parts = [out[~cut]]
+        for other in range(int(blocks.max(initial=0))):  # block by block, each pair of which is a shard
+            ok = (other < blocks) & (other != side)
+            met = apart[ok]
+            i, j = np.minimum(side[ok], other).astype(np.uint64), np.maximum(side[ok], other).astype(np.uint64)
+            mixed = (met["key"] + (i << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + j * np.uint64(0xD6E8FEB86659FD93)
+            met["key"] = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+            parts.append(met)
+        return np.concatenate(parts)
+
+    def blobs(rows: np.ndarray) -> pa.RecordBatch:
+        bucket = ((rows["key"].astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+        rows = rows[np.argsort(bucket, kind="stable")]
+        count = np.bincount(bucket, minlength=buckets)
+        which = np.flatnonzero(count)
+        ends = np.concatenate([[0], np.cumsum(count[which])]) * _RECORD.itemsize
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), data], names=["bucket", "rows"])
 
-    Near pairs (x, y) of digests, x < y.
-    """
-    names = shards.columns
-
-    def join(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        a = rows["a"].view(np.uint64)
-        trees = _Forest(rows["f"].view(np.uint64), rows["e"].view(np.uint64), a & np.uint64(0x7FFF), (a >> np.uint64(15)).astype(np.int64) & 0xFFF, least)
-        shard = (a >> np.uint64(27)).astype(np.int64)
-        blocks = "side" in rows
-        if blocks:
-            shard = shard + (rows["i"].astype(np.int64) * 1_000_003 + rows["j"]) * np.int64(0x5851F42D4C957F2D)
-            shard = np.cumsum(np.concatenate([[0], (shard[1:] != shard[:-1]).astype(np.int64)]))
-        trees.search(shard)
-        p = np.concatenate(trees.left) if trees.left else np.empty(0, np.int64)
-        q = np.concatenate(trees.right) if trees.right else np.empty(0, np.int64)
-        if blocks:
-            cross = (rows["i"][p] == rows["j"][p]) | (rows["side"][p] != rows["side"][q])
-            p, q = p[cross], q[cross]
-        d = rows["d"]
-        pairs = np.unique(np.stack([np.minimum(d[p], d[q]), np.maximum(d[p], d[q])]), axis=1) if len(p) else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["x", "y"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 10_000):
+                held.append(of(batch.slice(at, 10_000)))
+                if sum(map(len, held)) > 600_000:
+                    yield blobs(np.concatenate(held))
+                    held = []
+        if held:
+            yield blobs(np.concatenate(held))
+
+    return sets.select("d", "words", "f", "e", "g").mapInArrow(run, "bucket int, rows binary")
+
+
+def _near(rows: np.ndarray, least: float) -> pa.RecordBatch:
+    """Near pairs (x, y) of digests, x < y, of the records that share a key; a pair may be there more than once."""
+    order = np.argsort(rows["key"])
+    key = rows["key"][order]
+    same = key[1:] == key[:-1]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    rows = rows[order[np.lexsort((rows["d"][order], rows["key"][order]))]]
+    rows = rows[np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["d"][1:] != rows["d"][:-1])])[: len(rows)]]
+    g, d = rows["g"].astype(np.int64), np.ascontiguousarray(rows["d"])
+    trees = _Forest(np.ascontiguousarray(rows["f"]), np.ascontiguousarray(rows["e"]), g & 0x7FFF, g >> 15 & 0xFFF, least)
+    trees.search(rows["key"].astype(np.int64))
+    x, y = (np.concatenate([*side, np.empty(0, np.int64)]).astype(np.int64) for side in (trees.left, trees.right))
+    x, y = np.minimum(d[x], d[y]), np.maximum(d[x], d[y])
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)]
+    return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], names=["x", "y"])
+
+
+def _search(records: DataFrame, least: float) -> DataFrame:
+    """Near pairs of `_records`: blobs of a bucket meet, sorted by bucket within partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        count = 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, count
-            rows = {k: np.concatenate([h[k] for h in held]) for k in names}
-            total = cut = len(rows["a"])
-            if not last:  # the last shard may go on in the next batch
-                same = rows["a"] >> 27 == rows["a"][-1] >> 27
-                for k in ("i", "j"):
-                    if k in rows:
-                        same &= rows[k] == rows[k][-1]
-                cut = total - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield join({k: v[:cut] for k, v in rows.items()})
-            held, count = ([{k: v[cut:] for k, v in rows.items()}] if cut < total else []), total - cut
+        held: list[np.ndarray] = []
+        bucket = -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            which, column = batch.column(0).to_numpy(), batch.column(1)
+            wide = pa.types.is_large_binary(column.type)
+            ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+            first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            for a, b in zip(first, [*first[1:], len(which)]):
+                if which[a] != bucket and held:
+                    yield _near(np.concatenate(held), least)
+                    held = []
+                bucket = which[a]
+                held.append(np.frombuffer(column.buffers()[2], _RECORD, (ends[b] - ends[a]) // _RECORD.itemsize, ends[a]).copy())
+        if held:
+            yield _near(np.concatenate(held), least)
+
+    return records.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "x bigint, y bigint")
+
+
+def _large(sets: DataFrame, bands: _Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the shards of more than SHARD_ROWS sets, sorted, and the number of blocks of each; by a sample."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                held.append({k: batch.column(n).to_numpy(zero_copy_only=False) for n, k in enumerate(names)})
-                count += batch.num_rows
-                if count > 200_000:
-                    yield from flush(False)
-        if count:
-            yield from flush(True)
+                yield pa.RecordBatch.from_arrays([pa.array(bands.keys(*_lists(batch.column(0))).reshape(-1).astype(np.int64))], names=["key"])
+
+    sample = sets.filter(F.pmod("d", F.lit(COUNTED)) == 0).dropDuplicates(["d"]).select("words").mapInArrow(run, "key bigint")
+    counted = sample.groupBy("key").agg((F.count("*") * COUNTED).alias("size")).filter(F.col("size") > SHARD_ROWS)
+    found = sorted((r.key, -(-r.size // (SHARD_ROWS // 2))) for r in counted.collect())
+    return np.array([k for k, _ in found], dtype=np.uint32), np.array([n for _, n in found], dtype=np.int64)
+
 
-    return shards.mapInArrow(run, "x bigint, y bigint")
+def _apart(df: DataFrame, name: str) -> DataFrame:
+    """`written`; shuffle files of it stay until the driver collects what refers to them, which it is told to do."""
+    out = written(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     """Pairs (x, y), x < y, of digests of `sketches` whose word sets have a Jaccard similarity of at least `least`."""
-    kept = sets.groupBy("d").agg(F.first("f").alias("f"), F.first("e").alias("e"), F.first("g").alias("g"), F.first("keys").alias("keys"))
-    rows = kept.select("d", "f", "e", "g", F.posexplode("keys").alias("band", "key"))
-    shard = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(0xFFFFFFFF))
-    rows = rows.select(F.shiftleft(shard, 27).bitwiseOR(F.col("g").cast("long")).alias("a"), "f", "e", "d")
-    key = F.shiftrightunsigned("a", 27)
-    sample = sets.filter(F.pmod("d", F.lit(COUNTED)) == 0).select(F.col("d"), F.posexplode("keys").alias("band", "key")).distinct()
-    sample = sample.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(0xFFFFFFFF)).alias("shard"))
-    big = written(sample.groupBy("shard").agg((F.count("*") * COUNTED).alias("size")).filter(F.col("size") > SHARD_ROWS), "large-shards")
-    none = big.isEmpty()
-    plain = rows if none else rows.withColumn("shard", key).join(big, "shard", "left_anti").drop("shard")
-    found = _search(plain.select("a", "f", "e", "d").repartition(key).sortWithinPartitions("a"), least)
-    if not none:  # block b meets each block in a shard of its own
-        sized = rows.withColumn("shard", key).join(big, "shard").withColumn("blocks", F.ceil(F.col("size") / (SHARD_ROWS // 2)).cast("int"))
-        sized = sized.withColumn("side", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        sized = sized.select("a", "f", "e", "d", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
-        sized = sized.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
-        found = found.unionAll(_search(sized, least))
-    found = written(found.distinct(), "near-pairs")
+    n = sets.count()
+    rows, bands = plan(n, least)
+    large = _large(sets, _Bands(0, bands, rows)) if n > SHARD_ROWS else (np.empty(0, np.uint32), np.empty(0, np.int64))
+    rounds = -(-bands // AT_ONCE)
+    cuts = [bands * k // rounds for k in range(rounds + 1)]
+    found = None
+    for first, last in zip(cuts, cuts[1:]):
+        part = _apart(_search(_records(sets, _Bands(first, last, rows), n * (last - first) // BUCKET + 1, large), least).distinct(), "near-in-bands")
+        found = part if found is None else found.unionAll(part)
+    found = _apart(found.distinct(), "near-pairs")
     ends = found.select(F.col("x").alias("d")).unionAll(found.select("y")).distinct()
-    texts = written(sets.select("d", "words").join(ends, "d", "left_semi").groupBy("d").agg(F.first("words").alias("words")), "near-words")
+    texts = _apart(sets.select("d", "words").join(ends, "d", "left_semi").groupBy("d").agg(F.first("words").alias("words")), "near-words")
     both = found.join(texts.select(F.col("d").alias("x"), F.col("words").alias("wx")), "x").join(texts.select(F.col("d").alias("y"), F.col("words").alias("wy")), "y")
     both = both.select("x", "y", F.size(F.array_intersect("wx", "wy")).alias("s"), (F.size("wx") + F.size("wy")).alias("n"))
     return both.filter(F.col("s") >= F.lit(least) * (F.col("n") - F.col("s")) - 1e-9).select("x", "y")

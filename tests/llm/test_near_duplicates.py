@@ -92,3 +92,30 @@ def test_components_and_empty(spark):
     assert set(got.values()) == {"n00", "x"} and got["n30"] == "n00"
     empty = spark.createDataFrame([], "id string, text string")
     assert nd.near_pairs(empty).collect() == [] and nd.classes(empty).collect() == []
+
+
+def test_pairs_in_shards_grow_slower_than_the_square():
+    rng = np.random.default_rng(5)
+    # unrelated texts of one language: each has about 51 of 170 words
+    sets = [np.flatnonzero(rng.random(170) < 0.3).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2000)]
+    h, ends = np.concatenate(sets), np.cumsum([len(s) for s in sets])
+
+    def share(of):
+        rows, bands = nd.plan(of, 0.7)
+        assert (1 - 0.7**rows) ** bands <= nd.MISSED
+        keys = nd._Bands(0, bands, rows).keys(h, ends)
+        many = [np.unique(keys[:, k], return_counts=True)[1] for k in range(bands)]
+        return sum(int((m * (m - 1)).sum()) for m in many) / (len(sets) * (len(sets) - 1))
+
+    few, more, most = share(2000), share(2_000_000), share(20_000_000)
+    assert few < 0.6 * 24 * 0.18**3 and more < few / 2 and most < more / 2
+
+
+def test_keys_do_not_depend_on_rounds_batches_or_the_order_of_words(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 7, 400, 3, 1500, 50)]
+    ends = np.cumsum([len(s) for s in sets])
+    whole = nd._Bands(0, 37, 4).keys(np.concatenate(sets), ends)
+    assert (np.concatenate([nd._Bands(a, b, 4).keys(np.concatenate(sets), ends) for a, b in ((0, 12), (12, 24), (24, 37))], axis=1) == whole).all()
+    monkeypatch.setattr(nd, "_WORDS", 100)
+    assert (nd._Bands(0, 37, 4).keys(np.concatenate([s[::-1] for s in sets]), ends) == whole).all()
