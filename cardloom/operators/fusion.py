@@ -82,6 +82,11 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int = C.RRF_K, vector_weight:
     """
     lexical, vector = (lane if weight > 0 else lane.limit(0) for lane, weight in ((lexical, lexical_weight), (vector, vector_weight)))
     lanes = lexical.select("qid", "id", F.col("rank").alias("lexical_rank")).join(vector.select("qid", "id", F.col("rank").alias("vector_rank")), ["qid", "id"], "full")
+    return scored(lanes, k, vector_weight, lexical_weight)
+
+
+def scored(lanes: DataFrame, k: int = C.RRF_K, vector_weight: float = C.VECTOR_WEIGHT, lexical_weight: float = C.LEXICAL_WEIGHT) -> DataFrame:
+    """Score and rank of candidates with their ranks in both lanes (qid, id, lexical_rank, vector_rank)."""
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (F.lit(float(k)) + F.col(r)), F.lit(0.0))
     fused = F.round(part(vector_weight, "vector_rank") + part(lexical_weight, "lexical_rank"), 6)
     lanes = lanes.withColumn("score", fused)

@@ -1,4 +1,10 @@
-"""BM25 and vector similarity over the cards of a scope: both lanes are found where a block of queries meets a block of cards, and never shuffled."""
+"""BM25 and vector similarity over the cards of a scope, fused: both lanes are ranked where a block of queries meets a block of cards.
+
+A lane has as many ranks as pairs, so lanes are never shuffled. The first `limit` of a fusion lie among the first `_depth` of either lane,
+each with its exact place in the other, however deep. A cell that has all cards of its scope tells those places itself. Of a scope of more
+blocks each cell gives out its own first; what of these is first in the scope goes back to all its cells, which count how many cards of
+theirs stand before it.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +13,28 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import constants as C
 from cardloom.operators import fusion, lexical
 from cardloom.session import written
 
-#: Cosines that are held at a time.
-COSINES = 2_000_000
+#: Cosines that are held at a time; rows that a task gives out at a time.
+COSINES, OUT_ROWS = 2_000_000, 50_000
 _KNOBS = {"min_coverage": C.MIN_COVERAGE, "strong_evidence": C.STRONG_EVIDENCE, "strong_terms": None, "pool_floor": C.POOL_FLOOR}
 
 
+def _depth(limit: int) -> int:
+    """Beyond this place in both lanes nothing gets to the first `limit`.
+
+    If the weightier lane has `limit` ids, those alone score more than two ranks past the depth do (1 % more, so that rounding can't tie them).
+    If it has fewer, all of them are within, and so are the first `limit` of the other lane that it has not.
+    """
+    w = C.VECTOR_WEIGHT, C.LEXICAL_WEIGHT
+    return max(2 * limit, int(1.01 * (C.RRF_K + limit) * sum(w) / max(w) - C.RRF_K) + 1)
+
+
 class _Lanes:
     """Both lanes of a cell. A lane of a query: places of its cards, ascending, and keys, the largest of which is first and none of which is there twice."""
 
@@ -61,6 +77,48 @@ class _Lanes:
         """A larger value is first; of equal ones the lower place."""
         return value * (self.size + 1) + (self.size - place)
 
+    def value(self, key: np.ndarray) -> np.ndarray:
+        return (key - 1) // (self.size + 1)
+
+
+def _first(keys: np.ndarray, most: int) -> np.ndarray:
+    return np.arange(len(keys)) if len(keys) <= most else np.argpartition(keys, -most)[-most:]
+
+
+def _of(lane: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the places `at` in a lane, and which of them are in it."""
+    places, keys = lane
+    if not len(places):
+        return np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    k = np.minimum(np.searchsorted(places, at), len(places) - 1)
+    return keys[k], places[k] == at
+
+
+def _before(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many keys are larger than each of `of`."""
+    return len(keys) - np.searchsorted(np.sort(keys), of, "right") if len(of) else np.zeros(0, np.int64)
+
+
+def _batches(rows: Iterator[tuple], lanes: _Lanes, names: list[str], make: Callable[..., list]) -> Iterator[pa.RecordBatch]:
+    """Batches of (k, arrays of one length ...): the query's id and what `make` makes of the arrays."""
+    out: list[tuple] = []
+    waiting = 0
+
+    def batch() -> pa.RecordBatch:
+        k = pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int64))
+        arrays = [lanes.asks["qid"].take(k), lanes.asks["scope"].take(k), *make(*(np.concatenate([x[i] for x in out]) for i in range(1, len(out[0]))))]
+        return pa.RecordBatch.from_arrays([lexical._whole(x) for x in arrays], names=names)
+
+    for row in rows:
+        if not len(row[1]):
+            continue
+        out.append(row)
+        if (waiting := waiting + len(row[1])) >= OUT_ROWS:
+            yield batch()
+            out, waiting = [], 0
+    if out:
+        yield batch()
+
 
 class _Meeting:
     """Queries (qid, owner, text, vec) and cards (owner, id, text, occurred_ts, vec) dealt to cells, with the vectors (vec, vector) that a cell's rows name."""
@@ -91,7 +149,7 @@ class _Meeting:
 
 
 def reasons(queries: DataFrame, cards: DataFrame, vectors: DataFrame, min_cosine: float, scope: str = "owner", **knobs) -> DataFrame:
-    """(reason, n): by which lanes the candidates of fusion.fuse came; only counts leave a cell."""
+    """(reason, n): by which lanes the candidates of `fused`, without a limit, came; only counts leave a cell."""
 
     def cell(lanes: _Lanes) -> Iterator[pa.RecordBatch]:
         n = np.zeros(3, np.int64)
@@ -104,3 +162,94 @@ def reasons(queries: DataFrame, cards: DataFrame, vectors: DataFrame, min_cosine
 
     met = _Meeting(queries, cards, vectors, min_cosine, scope, knobs)
     return met.run(cell, "reason string, n long").filter("n > 0").groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+def fused(queries: DataFrame, cards: DataFrame, vectors: DataFrame, limit: int, min_cosine: float, scope: str = "owner", **knobs) -> DataFrame:
+    """The first `limit` of fusion.fuse per query (qid, id, lexical_rank, vector_rank, score, rank), of all ranks of both lanes.
+
+    queries: qid, scope, text, vec; cards: scope, id, text, occurred_ts, vec; vectors: vec, vector. The lexical lane is what passes
+    lexical.evaluate, the vector lane what reaches `min_cosine`; rows whose vec is no row of `vectors` are in no vector lane. Ids are
+    unique in a scope, qids altogether.
+    """
+    met = _Meeting(queries, cards, vectors, min_cosine, scope, knobs)
+    kinds, depth = met.kinds, _depth(limit)
+    ids = f"qid {kinds['qid']}, scope {kinds['scope']}, id {kinds['id']}, "
+    w_vec, w_lex, k_rrf = float(C.VECTOR_WEIGHT), float(C.LEXICAL_WEIGHT), float(C.RRF_K)
+
+    def candidates(lex: tuple, vec: tuple) -> np.ndarray:
+        return np.union1d(*(places[_first(keys, depth)] for places, keys in (lex, vec)))
+
+    def ranks(lanes: _Lanes) -> Iterator[tuple]:
+        for k, lex, vec in lanes:
+            at = candidates(lex, vec)
+            rank = []
+            for lane in (lex, vec):
+                keys, there = _of(lane, at)
+                rank.append(np.where(there, _before(lane[1], keys) + 1, 0))
+            if len(at) > limit:
+                score = sum(np.where(r > 0, w / (k_rrf + r), 0.0) for w, r in zip((w_lex, w_vec), rank))
+                near = score >= np.partition(score, -limit)[-limit] - 2e-6  # rounding may yet tie them
+                at, rank = at[near], [r[near] for r in rank]
+            yield k, at, *rank
+
+    def whole(lanes: _Lanes) -> Iterator[pa.RecordBatch]:
+        make = lambda at, lex, vec: [lanes.held["id"].take(pa.array(at)), *(pa.array(r, pa.int64(), mask=r == 0) for r in (lex, vec))]
+        yield from _batches(ranks(lanes), lanes, ["qid", "scope", "id", "lexical_rank", "vector_rank"], make)
+
+    def firsts(lanes: _Lanes) -> Iterator[tuple]:
+        for k, lex, vec in lanes:
+            at = candidates(lex, vec)
+            (a, in_lex), (b, in_vec) = _of(lex, at), _of(vec, at)
+            yield k, at, lanes.value(a), in_lex, lanes.value(b), in_vec
+
+    def parts(lanes: _Lanes) -> Iterator[pa.RecordBatch]:
+        def make(at, points, in_lex, cosine, in_vec):
+            return [*(lanes.held[x].take(pa.array(at)) for x in ("id", "occurred_ts")), pa.array(points, pa.int64(), mask=~in_lex), pa.array(cosine, pa.int64(), mask=~in_vec)]
+
+        yield from _batches(firsts(lanes), lanes, ["qid", "scope", "id", "occurred_ts", "points", "cosine"], make)
+
+    def counted(lanes: _Lanes) -> Iterator[pa.RecordBatch]:
+        if not lanes.size or not len(lanes.asks):
+            return
+        lists = lexical._whole(lanes.asks["marks"])
+        marks, ends = pa.Table.from_batches([pa.RecordBatch.from_struct_array(lists.flatten())]), np.cumsum(pc.list_value_length(lists).to_numpy())
+        lane, value, places = marks["lane"].to_numpy(), marks["value"].to_numpy(), []
+        for by in ([("occurred_ts", "descending"), ("id", "ascending")], [("id", "ascending")]):  # how many cards of the cell stand before a mark
+            names = [x for x, _ in by]
+            both = pa.concat_tables([marks.select(names), lanes.held.select(names)])
+            order = pc.sort_indices(both, sort_keys=by, null_placement="at_end").to_numpy()  # stable: a mark is before its own card
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(order >= len(lane))
+            places.append(place[: len(lane)])
+        key = lanes.key(value, np.where(lane == 0, *places))
+
+        def rows() -> Iterator[tuple]:
+            for k, lex, vec in lanes:
+                at = np.arange(ends[k - 1] if k else 0, ends[k])
+                n = np.zeros(len(at), np.int64)
+                for which, (_, keys) in enumerate((lex, vec)):
+                    mine = lane[at] == which
+                    n[mine] = _before(keys, key[at[mine]])
+                yield k, at, n
+
+        make = lambda at, n: [marks["id"].take(pa.array(at)), pa.array(lane[at], pa.int32()), pa.array(n)]
+        yield from _batches(rows(), lanes, ["qid", "scope", "id", "lane", "before"], make)
+
+    lanes = met.run(whole, ids + "lexical_rank long, vector_rank long", False).drop("scope")
+    if met.split:
+        col, at = F.col, dict(met.texts.dtypes)["occurred_ts"]
+        found = met.run(parts, f"{ids}occurred_ts {at}, points long, cosine long", True)
+        of = lambda *order: F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long")
+        found = found.withColumn("l_", of(F.desc_nulls_last("points"), F.desc_nulls_last("occurred_ts"), F.asc("id"))).withColumn("c_", of(F.desc_nulls_last("cosine"), F.asc("id")))
+        held = lambda value, n: F.when(col(value).isNotNull() & (col(n) <= depth), col(n))
+        found = found.withColumns({"lexical_rank": held("points", "l_"), "vector_rank": held("cosine", "c_")}).drop("l_", "c_").filter("lexical_rank is not null or vector_rank is not null")
+        found = written(found, "found")
+        mark = lambda lane, value: F.struct(F.lit(lane).alias("lane"), col(value).alias("value"), "occurred_ts", "id")
+        deep = found.select("qid", "scope", F.explode(F.array_compact(F.array(F.when(col("points").isNotNull() & col("lexical_rank").isNull(), mark(0, "points")), F.when(col("cosine").isNotNull() & col("vector_rank").isNull(), mark(1, "cosine"))))).alias("m"))
+        deep = deep.groupBy("qid", "scope").agg(F.collect_list("m").alias("marks"))  # at most twice the depth
+        before = met.run(counted, ids + "lane int, before long", True, deep)
+        one = lambda lane: (F.sum(F.when(col("lane") == lane, col("before"))) + 1)
+        before = before.groupBy("qid", "id").agg(one(0).alias("l_"), one(1).alias("c_"))
+        told = found.join(before, ["qid", "id"], "left").select("qid", "id", F.coalesce("lexical_rank", "l_").alias("lexical_rank"), F.coalesce("vector_rank", "c_").alias("vector_rank"))
+        lanes = lanes.unionByName(told)
+    return fusion.scored(lanes).filter(F.col("rank") <= limit)
